@@ -71,14 +71,14 @@ def running_total(df: DataFrame, group: str, order: str, value: str, out: str, t
     whole = cut_up.groupBy(group, "_range").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = whole.select(
-        F.col(group).alias("_group"), F.col("_range").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start")
+        F.col(group).alias("_group"), F.col("_range").alias("_range_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start")
     )
     inside = Window.partitionBy(group, "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     return (
         cut_up.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
+        .join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_range_of")))
         .withColumn(out, F.col("_start") + F.col("_inside"))
-        .drop("_range", "_inside", "_group", "_at", "_start")
+        .drop("_range", "_inside", "_group", "_range_of", "_start")
     )
 
 
