@@ -120,10 +120,3 @@ def licences(docs: DataFrame) -> DataFrame:
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(read(spark, sf_dir, "documents"))
 
-
-ORACLE = r"""
-WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS ws FROM documents)
-SELECT doc_id, len(ws) AS n_words FROM w
-"""
