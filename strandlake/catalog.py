@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import records, sequences  # noqa: F401
+from .plans import kmers, records, sequences  # noqa: F401
 from .plans.registry import COVERS, ORACLES, QUERIES
 
 __all__ = ["COVERS", "ORACLES", "QUERIES"]
