@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import align, kmers, models, msa, pairs, records, sequences  # noqa: F401
+from .plans import align, kmers, models, more, msa, pairs, records, sequences  # noqa: F401
 from .plans.registry import COVERS, ORACLES, QUERIES
 
 __all__ = ["COVERS", "ORACLES", "QUERIES"]
