@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import seq
 from strandlake.operators.align import Scores, best_chain, dixon, fit_frechet, global_path, global_score, rescore
 from strandlake.operators.intervals import as_of, loci, overlaps
+from strandlake.operators.ranks import numbered
 from strandlake.streaming.windows import deduplicated, events_stream, sessions, top_values, tumbling
 
 S = Scores()
@@ -138,3 +139,10 @@ def test_streams_agree_with_batches(spark, tmp_path):
         top.setdefault(r["user_id"], []).append(r["value"])
     for user, best in top.items():
         assert sorted(best, reverse=True)[:3] == sorted((v for _, _, u, _, v in rows if u == user), reverse=True)[:3]
+
+
+def test_numbers_of_rows(spark):
+    df = spark.range(0, 3000, 3).withColumn("x", (F.col("id") * 7919) % 3001)
+    want = {x: i for i, x in enumerate(sorted((i * 7919) % 3001 for i in range(0, 3000, 3)), 1)}
+    for each in (64, 5000):
+        assert {r["x"]: r["n"] for r in numbered(df, "x", "n", each).collect()} == want
