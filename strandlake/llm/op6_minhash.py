@@ -5,8 +5,8 @@
    round, and stops at the round after which no slot can fall: a text with many shingles needs one or two rounds.
 2. Equal sets are one representative from here on (the least id).
 3. Members of a band's bucket are paired with its first member, pairs are verified on whole sets, links make components.
-4. Buckets whose members are still in several components are searched further: neighbours by size, then whatever pairs
-   across components are left and not ruled out by their signatures.
+4. Buckets whose members are still in several components are searched further: neighbours by size, then all pairs across
+   components that their sizes, the shingles that they alone have and sketches of 1024 bits don't rule out.
 So a group of thousands of copies costs about as many pairs as it has members, and a link is only left untested inside
 one component, where it changes nothing.
 
@@ -26,9 +26,11 @@ from .graph import components
 
 #: Bands and rows of a band. A pair at similarity 0.8 is in no common bucket with probability (1 - 0.8**3)**22 = 1.4e-7.
 BANDS, ROWS = 22, 3
-#: Of pairs left after two rounds: the signature's similarity below which a pair isn't verified. At 0.8 a signature of 66
-#: has standard deviation 0.049 at most, so this is more than four of them away.
-RULED_OUT = 0.59
+#: Rows (two ids and two keys at most, so about 20 MB) that may be broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 400_000
+#: Bits of the sketches by which pairs left after two rounds are ruled out, and how many may differ: at similarity 0.8 a
+#: tenth differ, with standard deviation 9.6; 141 is four of them more (as at similarity 0.725).
+BITS, DIFFER = 1024, 141
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -66,30 +68,24 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (shingles), key, bands, sig (a byte of each slot) of every row of ``docs``."""
+    """doc_id, n (shingles), key, bands of every row of ``docs``."""
 
     def run(batches):
         import xxhash
 
         for batch in batches:
             for first, texts in slices(batch.column("text")):
-                n, keys, bits, sigs = [], [], [], []
+                n, keys, bits = [], [], []
                 for text in texts:
                     own = np.unique(shingles(word_hashes(text), k))
                     n.append(len(own))
                     keys.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    if len(own):
-                        sig = superminhash(own)
-                        bits.append(bands(sig).view(np.int64))
-                        sigs.append((sig & np.uint64(0xFF)).astype(np.uint8).tobytes())
-                    else:
-                        bits.append(np.empty(0, np.int64))
-                        sigs.append(b"")
+                    bits.append(bands(superminhash(own)).view(np.int64) if len(own) else np.empty(0, np.int64))
                 lengths = np.cumsum([0, *map(len, bits)]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(bits)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), listed, pa.array(sigs, pa.binary())], ["doc_id", "n", "key", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), listed], ["doc_id", "n", "key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, bands array<long>, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -107,10 +103,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "want binary, key binary, set binary").filter("want = key").select("key", "set")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, a_key, b, b_key) whose sets are ``percent`` alike or more: a, b."""
-    wanted = pairs.select(F.col("a").alias("rep"), F.col("a_key").alias("key")).union(pairs.select("b", "b_key")).distinct()
-    sets = _sets(docs, wanted, k)
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast, if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _verified(library: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, a_key, b, b_key) whose sets in ``library`` are ``percent`` alike or more: a, b."""
+    wanted = cut(pairs.select(F.col("a_key").alias("key")).union(pairs.select("b_key")).distinct())
+    sets = library.join(_few(wanted), "key", "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -123,7 +124,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
                 alike.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("key").alias("a_key"), F.col("set").alias("a_set")), "a_key").drop("a_key")
+    joined = _few(pairs).join(sets.select(F.col("key").alias("a_key"), F.col("set").alias("a_set")), "a_key").drop("a_key")
     joined = joined.join(sets.select(F.col("key").alias("b_key"), F.col("set").alias("b_set")), "b_key").select("a", "b", "a_set", "b_set")
     return joined.mapInArrow(run, "a long, b long")
 
@@ -137,51 +138,86 @@ def _paired(a: str, b: str) -> list:
 
 def links(docs: DataFrame, marked: DataFrame, k: int, percent: int) -> DataFrame:
     """node, component over the representatives of ``marked`` (sketches of ``docs``) that have a link."""
-    alone = marked.filter("doc_id is not null and n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    rows = alone.select("rep", "key", "n", "sig", F.explode("bands").alias("band"))
+    alone = marked.filter("doc_id is not null and n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    rows = alone.select("rep", "key", "n", F.explode("bands").alias("band"))
     member = F.struct("rep", "key").alias("m")
     by = Window.partitionBy("band")
-    buckets = rows.withColumn("_size", F.count("*").over(by)).filter("_size > 1").select("band", "rep", "key", "n", "sig")
+    buckets = rows.withColumn("_size", F.count("*").over(by)).filter("_size > 1").select("band", "rep", "key", "n")
     buckets = cut(buckets)
     first = buckets.select("band", member).withColumn("f", F.min("m").over(by)).filter("m.rep <> f.rep")
     tested = cut(first.select(*_paired("m", "f")).distinct())
-    found = cut(_verified(docs, tested, k, percent))
+    # The sets of all that are in a bucket with others, fetched once for all rounds.
+    library = cut(_sets(docs, _few(cut(buckets.select("rep", "key").distinct())), k))
+    found = cut(_verified(library, tested, percent))
     joined = components(found)
     for further in (_neighbours, _rest):
         left = buckets.join(joined, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component")
         left = left.withColumns({"_low": F.min("c").over(by), "_high": F.max("c").over(by)}).filter("_low <> _high").drop("_low", "_high")
-        pairs = further(cut(left), percent).join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "a_key", "b", "b_key")
+        pairs = further(cut(left), library, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "a_key", "b", "b_key")
         pairs = cut(pairs)
         if pairs.isEmpty():
             continue
         tested = tested.union(pairs)
-        found = cut(found.union(_verified(docs, pairs, k, percent)))
+        found = cut(found.union(_verified(library, pairs, percent)))
         joined = components(found)
     return joined
 
 
-def _neighbours(left: DataFrame, _: int) -> DataFrame:
+def _neighbours(left: DataFrame, library: DataFrame, percent: int) -> DataFrame:
     """Pairs of members that are next to each other in a bucket, by size, and in different components."""
     order = Window.partitionBy("band").orderBy("n", "rep")
     rows = left.select("band", "n", "rep", F.struct("rep", "key", "c").alias("m")).withColumn("o", F.lag("m").over(order))
     return rows.filter("o is not null and o.c <> m.c and o.rep <> m.rep").select(*_paired("m", "o")).distinct()
 
 
-def _rest(left: DataFrame, percent: int) -> DataFrame:
-    """All pairs across components of a bucket that sizes and signatures don't rule out."""
-    one = left.select("band", F.struct("rep", "key", "c", "n", "sig").alias("m"))
-    two = left.select("band", F.struct("rep", "key", "c", "n", "sig").alias("o"))
-    pairs = one.join(two, "band").filter(f"m.c <> o.c and m.rep < o.rep and 100 * least(m.n, o.n) >= {percent} * greatest(m.n, o.n)")
-    pairs = pairs.select(*_paired("m", "o"), F.col("m.sig").alias("x"), F.col("o.sig").alias("y"))
+def _rest(left: DataFrame, library: DataFrame, percent: int) -> DataFrame:
+    """All pairs across components of a bucket that can be alike at all.
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                y = np.frombuffer(b"".join(batch.column("y").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                yield batch.select(["a", "a_key", "b", "b_key"]).filter(pa.array((x == y).mean(axis=1) >= RULED_OUT))
+    Shingles that no other member of these buckets has are in no intersection, so a set of n with u of them shares n - u
+    at most. A text with edits of its own is thereby ruled out against every other at once, and exactly. Of the others,
+    pairs are ruled out whose sketches differ in more bits than pairs at the limit do but once in 30,000 times.
+    """
+    members = cut(left.select("rep", "key", "n").distinct())
 
-    return pairs.mapInArrow(run, "a long, a_key binary, b long, b_key binary").distinct()
+    def spread(batches):
+        for batch in batches:
+            for rep, own in zip(batch.column("rep").to_pylist(), batch.column("set").to_pylist(), strict=True):
+                own = np.frombuffer(own, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rep)), pa.array(own)], ["rep", "shingle"])
+
+    sets = library.join(_few(members.select("key", "rep")), "key").select("rep", "set").dropDuplicates(["rep"])
+    lone = sets.mapInArrow(spread, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("_n"), F.min("rep").alias("_rep")).filter("_n = 1").groupBy("_rep").agg(F.count("*").alias("u"))
+    shared = members.join(lone, F.col("rep") == F.col("_rep"), "left").select("rep", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
+    # What shares too little even with a set as small as its share goes before any pair is made.
+    shared = shared.join(members.select("rep", "n"), "rep").filter(f"100 * s >= {percent} * n").drop("n")
+    shared = cut(sets.join(_few(cut(shared)), "rep").select("rep", "s", "set").mapInArrow(_bits, "_rep long, s long, bits array<long>"))
+    everywhere = left.groupBy("rep").agg(F.array_sort(F.collect_list("band")).alias("all"))
+    kept = left.join(shared, F.col("rep") == F.col("_rep")).drop("_rep").join(everywhere, "rep")
+    kept = cut(kept.select("band", F.struct("rep", "key", "c", "n", "s", "bits", "all").alias("m")))
+    both, size = F.least("m.s", "o.s"), F.col("m.n") + F.col("o.n")
+    differ = sum((F.bit_count(F.col("m.bits")[i].bitwiseXOR(F.col("o.bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    alike = (F.col("m.c") != F.col("o.c")) & (F.col("m.rep") < F.col("o.rep")) & (100 * both >= percent * (size - both)) & (100 * F.least("m.n", "o.n") >= percent * F.greatest("m.n", "o.n"))
+    # A pair comes out of the first bucket that both are in alone.
+    first = F.array_min(F.array_intersect("m.all", "o.all")) == F.col("band")
+    one, two = kept.withColumnRenamed("band", "_band"), kept.withColumnRenamed("m", "o")
+    return one.join(two, (F.col("_band") == F.col("band")) & alike & (differ <= DIFFER) & first).select(*_paired("m", "o"))
+
+
+def _bits(batches):
+    """A bit of the least of each of BITS permutations: of two sets, (1 + similarity) / 2 of the bits agree."""
+    odd, turn = (mixed(np.arange(BITS, dtype=np.uint64), i) for i in (11, 12))
+    odd |= np.uint64(1)
+    for batch in batches:
+        out = []
+        for own in batch.column("set").to_pylist():
+            own, least = np.frombuffer(own, np.uint64), np.full(BITS, _TOP, np.uint64)
+            for at in range(0, len(own), 256):
+                part = own[at : at + 256, None] ^ turn
+                part *= odd
+                np.minimum(least, part.min(axis=0), out=least)
+            out.append(np.packbits((mixed(least) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("s"), listed], ["_rep", "s", "bits"])
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
