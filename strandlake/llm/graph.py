@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
+def sweep(df: DataFrame) -> None:
+    """Lets Spark delete what rounds before have shuffled and written: it does so once the driver has dropped them, which
+    otherwise waits until the driver's heap is full."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) of every node of ``edges`` (a long, b long).
 
@@ -22,6 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark:
             break
         seen = mark
+        sweep(now)
     # Stable edges are stars: each node to its component's least.
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b")).distinct()
 

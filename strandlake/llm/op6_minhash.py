@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, mixed, read, shingles, slices, word_hashes
-from .graph import components
+from .graph import components, sweep
 
 #: Bands and rows of a band. A pair at similarity 0.8 is in no common bucket with probability (1 - 0.8**3)**22 = 1.4e-7.
 BANDS, ROWS = 22, 3
@@ -155,6 +155,8 @@ def links(docs: DataFrame, marked: DataFrame, k: int, percent: int) -> DataFrame
         left = left.withColumns({"_low": F.min("c").over(by), "_high": F.max("c").over(by)}).filter("_low <> _high").drop("_low", "_high")
         pairs = further(cut(left), library, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "a_key", "b", "b_key")
         pairs = cut(pairs)
+        del left
+        sweep(pairs)
         if pairs.isEmpty():
             continue
         tested = tested.union(pairs)
