@@ -186,7 +186,9 @@ def scored(docs: DataFrame) -> DataFrame:
     asked = rows.groupBy("part").applyInArrow(count_part, "part int, key long, cnt long")
     asked = asked.repartition(tasks(spark, 4 * parts, 1), "key")
     trie = asked.groupBy("key").agg(F.sum("cnt").alias("cnt"))
-    grams, words = trie.filter("key >= 0"), trie.filter("key < 0")
+    # The conditions depend on the sum, so they stay above the exchange and its rows are made once for all branches.
+    known = F.when(F.col("cnt").isNotNull(), F.col("key"))
+    grams, words = trie.filter(known >= 0), trie.filter(known < 0)
     # Buckets by the last context byte and a share of the byte before; what shorter contexts need goes to each.
     shares = min(256, max(1, parts // 8))
     last, before = F.shiftright("key", 8).bitwiseAND(255), F.shiftright("key", 16).bitwiseAND(255)
