@@ -136,7 +136,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     whole, part = F.floor(taken / F.greatest(F.col("_size"), F.lit(1))), taken % F.greatest(F.col("_size"), F.lit(1))
     lengths = F.concat(F.array_repeat(F.col("_size"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
     out = joined.withColumn("_length", F.explode(lengths))
-    head = F.regexp_substr("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("_length"), F.lit("}")))
+    # Words with the white space after them: a repeated group would recurse as deep as the words are many.
+    parts = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    head = F.array_join(F.slice(parts, F.lit(1), F.col("_length").cast("int")), "")
     out = out.withColumn("text", F.when(F.col("_length") == F.col("_size"), F.col("text")).otherwise(head))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
