@@ -88,6 +88,8 @@ def test_schedule_is_even(spark):
 def test_mixed_documents_have_the_words_taken(documents):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randrange(1, 60)), "en", rng.choice(["big", "big", "small"])) for i in range(80)]
+    # Alone in its source, so that a part of it is taken.
+    rows.append((90, prose(rng, 30_000), "en", "long"))
     docs = documents(rows)
     taken = {r["doc_id"]: r["taken"] for r in op3_mixing.mixed(docs).collect()}
     found, text = Counter(), dict((r[0], r[1]) for r in rows)
