@@ -247,6 +247,33 @@ def test_passages(documents):
     assert op7_passages.passages(documents([])).count() == 0
 
 
+def test_passages_in_a_looser_stretch():
+    rng = random.Random(81)
+    early = [f"v{i}" for i in range(400)]
+    late = list(early)
+    for i in [*range(0, 155, 8), *range(245, 400, 8)]:
+        late[i] = f"edit{i}"
+    late[200] = "edit"
+    hashed = [op7_passages.shingles(op7_passages.word_hashes(" ".join(x)), 5) for x in (early, late)]
+    found = op7_passages.shared_passages(*hashed)
+    assert set(range(153, 245)) <= {i for first, n, _ in found for i in range(first, first + n)}
+    assert all(n >= 50 and similar >= 0.8 for _, n, similar in found)
+    # What is covered is what any span of 46 or more shingles that is alike enough covers, by brute force.
+    for _ in range(60):
+        hits = [rng.random() < rng.choice((0.8, 0.9, 0.97)) for _ in range(150)]
+        at = [i for i, h in enumerate(hits) if h]
+        wanted = set()
+        for i, a in enumerate(at):
+            for j in range(i, len(at)):
+                span, k = at[j] - a + 1, j - i + 1
+                if span >= 46 and k / (2 * span - k) >= 0.8 - 1e-12:
+                    wanted |= set(range(a, at[j] + 1))
+        spans = op7_passages.alike_spans(np.array(at))
+        assert {x for a, b, _ in spans for x in range(a, b + 1)} == wanted
+        assert all(k == sum(hits[a : b + 1]) and k / (2 * (b - a + 1) - k) >= 0.8 for a, b, k in spans)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(spans))
+
+
 def test_cutting_words_out():
     assert op7_passages.without(" a b  c\nd é f", [(1, 2), (4, 1)]) == " a d f"
     assert op7_passages.without("a b", [(0, 2)]) == ""
