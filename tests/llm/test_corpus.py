@@ -247,6 +247,19 @@ def test_passages(documents):
     assert op7_passages.passages(documents([])).count() == 0
 
 
+def test_passages_at_the_least_similarity(documents):
+    rng = random.Random(82)
+    rows = []
+    for i in range(300):
+        passage = [f"p{i}x{j}" for j in range(50)]
+        edited = list(passage)
+        edited[25] = f"edit{i}"
+        for k, own in enumerate((passage, edited)):
+            rows.append((2 * i + k, " ".join([*(f"a{rng.getrandbits(32)}" for _ in range(40)), *own, *(f"z{rng.getrandbits(32)}" for _ in range(40))])))
+    got = {(r["a"], r["b"]) for r in op7_passages.candidates(documents(rows)).collect()}
+    assert {(2 * i, 2 * i + 1) for i in range(300)} <= got
+
+
 def test_passages_in_a_looser_stretch():
     rng = random.Random(81)
     early = [f"v{i}" for i in range(400)]
