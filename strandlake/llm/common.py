@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +37,45 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there, so that lost executors cost no rework."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table in the shared folder and go on from there, so that lost executors cost no rework.
+
+    What the writing shuffled is deleted once it is written; the table goes by ``discard`` or at the session's end.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/table-{uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    path, files = _folder(spark, folder)
+    files.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._written = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing reads any more."""
+    for t in tables:
+        path, files = _folder(t.sparkSession, t._written)
+        files.delete(path, True)
+
+
+def _folder(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def carried(docs: DataFrame, *parts: Column) -> DataFrame:
+    """``_row``, a struct of all columns of ``docs``, and ``parts``: what an operator adds can't clash with a column.
+    ``select("_row.*")`` gives the columns back."""
+    return docs.select(F.struct("*").alias("_row"), *parts)
 
 
 def tasks(spark: SparkSession, rows: int, each: int, most: int = 20_000) -> int:

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandlake.llm import op3_mixing, op5_topk, op6_minhash, op7_passages, op8_ppm, op9_packing, op10_langid
@@ -341,6 +342,26 @@ def test_scoring(documents):
     assert op8_ppm.scored(documents([])).count() == 0
 
 
+def test_scoring_in_pieces_and_split_contexts(documents, monkeypatch):
+    """Long texts in pieces, many parts, and hot contexts in shares: the same scores."""
+    rng = random.Random(19)
+    rows = [(i, " ".join(rng.choices(["the", "then", "bathe", "Cat", "sät", "on\n", "a", f"x{i % 7}"], k=rng.randrange(1, 60)))) for i in range(60)]
+    rows += [(100, " ".join(rng.choices(["ab", "abc", "é" * 50], k=4000))), (101, "x" * 9000), (102, None)]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    key = lambda r: r["doc_id"]
+    whole = sorted(op8_ppm.scored(documents(rows)).collect(), key=key)
+    for name, value in (("AT_ONCE", 256), ("PART_BYTES", 2000), ("BUCKET", 20)):
+        monkeypatch.setattr(op8_ppm, name, value)
+    units = [u for us in op8_ppm._units(pa.array([t for _, t in rows])) for u in us]
+    assert len(units) > len(rows) and b"".join(u[2] for u in units if u[0] == 60) == rows[60][1].encode()
+    split = sorted(op8_ppm.scored(documents(rows)).collect(), key=key)
+    for a, b in zip(whole, split, strict=True):
+        assert (a["doc_id"], a["n_tokens"], a["n_known"], a["train_tokens"]) == (b["doc_id"], b["n_tokens"], b["n_known"], b["train_tokens"])
+        assert a["score"] == pytest.approx(b["score"]) and a["base_score"] == pytest.approx(b["base_score"])
+    for i in (0, 7, 60, 62):
+        assert split[i]["score"] == pytest.approx(ppm(train, rows[i][1]))
+
+
 def test_symbols_of_a_context_share_one(documents):
     train = ["abracadabra", "abc abd", "b"]
     keys = sorted({k for t in train for k in op8_ppm.gram_codes([t])[0].tolist()})
