@@ -118,6 +118,25 @@ def running_total(df: DataFrame, group: str, order: str, value: str, out: str, t
     )
 
 
+def prefixes(df: DataFrame, order: list[Column], **sums: str) -> DataFrame:
+    """Adds for each ``out="value"`` the sum of the whole number ``value`` over all rows that come before in ``order``.
+
+    Rows are cut into ranges of the order; ranges are summed first, a row a range, then rows inside each. The order must
+    tell rows apart.
+    """
+    from pyspark.sql import Window
+
+    ranges = tasks(df.sparkSession, df.count(), 1 << 16)
+    ranged = cut(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    # A row for each range.
+    by = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_sum_{out}") for out, v in sums.items()])
+    starts = starts.select("_range", *[F.coalesce(F.sum(f"_sum_{out}").over(by), F.lit(0)).alias(f"_start_{out}") for out in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(starts), "_range")
+    return joined.select(*df.columns, *[(F.col(f"_start_{out}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(out) for out, v in sums.items()])
+
+
 # ---- vectorised hashing of words, for operators that run Python over Arrow batches ----
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -75,15 +75,41 @@ def test_mixing(documents):
 
 
 def test_schedule_is_even(spark):
-    aims = spark.createDataFrame([("a", 5.0), ("b", 2.0), (None, 1.0)], "source string, target double")
-    slots = op3_mixing.ranked(op3_mixing.schedule(spark, aims, 1600)).orderBy("slot").collect()
+    aims = spark.createDataFrame([(0, 5.0), (1, 2.0), (2, 1.0)], "no long, target double")
+    slots = op3_mixing.ranked(op3_mixing.schedule(spark, aims, 1600), 100).orderBy("slot").collect()
     assert [r["slot"] for r in slots] == list(range(1600))
     seen = Counter()
     for r in slots:
-        assert r["rank"] == seen[r["source"]]
-        seen[r["source"]] += 1
+        assert r["rank"] == seen[r["no"]]
+        seen[r["no"]] += 1
         n = r["slot"] + 1
-        assert abs(seen["a"] - n * 5 / 8) <= 8 and abs(seen[None] - n / 8) <= 8
+        assert abs(seen[0] - n * 5 / 8) <= 8 and abs(seen[2] - n / 8) <= 8
+
+
+def test_mix_against_the_schedule(documents):
+    """Slot after slot in plain Python: each takes the next block of its source's words."""
+    rng = random.Random(21)
+    rows = [(i, prose(rng, rng.randrange(0, 90)), "en", rng.choice(["big"] * 5 + ["a", "b", None])) for i in range(150)]
+    got = op3_mixing.mixed(documents(rows)).collect()
+    source = {r[0]: r[3] for r in rows}
+    order, sizes, block = defaultdict(list), defaultdict(int), op3_mixing.BLOCK
+    for r in op3_mixing.sizes(documents(rows)).orderBy("_at").collect():
+        order[r["source"]] += [r["doc_id"]] * r["size"]
+        sizes[r["source"]] += r["size"]
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    aim, whole = filled(sizes), sum(sizes.values())
+    ends = list(itertools.accumulate(aim[s] / whole for s in names))
+    taken, first, at = Counter(), {}, Counter()
+    for i in range(-(-whole // block)):
+        u = i * op3_mixing.PHI % 1
+        s = names[min(sum(e <= u for e in ends), len(names) - 1)]
+        for w in range(at[s], min(at[s] + block, 3 * sizes[s])):
+            taken[order[s][w % sizes[s]]] += 1
+            first.setdefault((order[s][w % sizes[s]], w // sizes[s]), i)
+        at[s] += block
+    assert {r["doc_id"]: r["taken"] for r in got if r["taken"]} == dict(taken)
+    slots = {(r["doc_id"], k): c["slot"] for r in got for k, c in enumerate(r["copies"])}
+    assert slots == first and all(source[r["doc_id"]] == r["source"] for r in got)
 
 
 def test_mixed_documents_have_the_words_taken(documents):
@@ -96,6 +122,9 @@ def test_mixed_documents_have_the_words_taken(documents):
     found, text = Counter(), dict((r[0], r[1]) for r in rows)
     out = op3_mixing.mixed_documents(docs)
     assert out.columns == docs.columns
+    in_order = [r["doc_id"] for r in out.collect()]
+    slot = {(r["doc_id"], k): c["slot"] for r in op3_mixing.mixed(docs).collect() for k, c in enumerate(r["copies"])}
+    assert in_order == [i for _, i in sorted((s, i) for (i, _), s in slot.items())]
     for r in out.collect():
         found[r["doc_id"]] += len(r["text"].split())
         assert text[r["doc_id"]].startswith(r["text"].rstrip()) and r["n_chars"] == len(r["text"])
