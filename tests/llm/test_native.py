@@ -6,6 +6,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from strandlake.llm.op1_licenses import PHRASES, licences
 from strandlake.llm.op4_merkle import edits, fingerprints
 
@@ -50,6 +52,33 @@ def test_empty_tables(documents):
     assert fingerprints(documents([])).count() == 0
 
 
+def brute_tree(text):
+    """(root, sections); a section is (hash, paragraphs); a paragraph (hash, pieces as texts)."""
+    sections, now, hashes = [], [], []
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        digest = hashlib.sha256(line.encode()).hexdigest()
+        now.append((digest[:16], re.findall(r"[^.!?\n]{1,48}[.!?]*|[.!?\n]+", line)))
+        hashes.append(digest)
+        if digest.endswith("0") or i == len(lines) - 1:
+            sections.append((hashlib.sha256("".join(hashes).encode()).hexdigest(), now))
+            now, hashes = [], []
+    return hashlib.sha256("".join(h for h, _ in sections).encode()).hexdigest(), sections
+
+
+def brute_likeness(one, two):
+    """Branches in common first, then below the others."""
+    a, b = brute_tree(one), brute_tree(two)
+    if a[0] == b[0]:
+        return 1.0
+    same, (x, y) = 0, [{h: own for h, own in t[1]} for t in (a, b)]
+    same += sum(max(1, len(p)) for h in x.keys() & y.keys() for _, p in x[h])
+    x, y = [{h: p for s in i.keys() - j.keys() for h, p in i[s]} for i, j in ((x, y), (y, x))]
+    same += sum(max(1, len(x[h])) for h in x.keys() & y.keys())
+    x, y = [{q for h in i.keys() - j.keys() for q in i[h]} for i, j in ((x, y), (y, x))]
+    return (same + len(x & y)) / either if (either := same + len(x | y)) else 0.0
+
+
 def test_fingerprints_against_python(documents):
     rng = random.Random(2)
     words = ["alpha", "beta.", "gamma\n", "delta é", "Sentence ends. ", "𝄞"]
@@ -68,7 +97,12 @@ def test_fingerprints_against_python(documents):
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert by_text.setdefault(text, r["fingerprint"]) == r["fingerprint"]
         assert (r["edited_fingerprint"] == r["fingerprint"]) == (edited == text)
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        root, sections = brute_tree(text)
+        shape = [[len(p) for _, p in own] for _, own in sections]
+        lines = [[p for p in line.split(":")[1].split(",")] for line in r["fingerprint"].split("/")[1:]]
+        assert r["fingerprint"].startswith(root + "/") and [[len(q.split(".")) if (q := p.split("=")[1]) else 0 for p in own] for own in lines] == shape
+        assert r["near_edited"] == pytest.approx(brute_likeness(text, edited))
+        assert r["near_next"] == pytest.approx(brute_likeness(text, following))
     assert len(set(by_text.values())) == len(by_text)
     assert got[4]["near_next"] == 1 and got[1]["near_next"] == 1
 
@@ -80,6 +114,21 @@ def test_one_row_and_equal_rows(documents):
     assert fingerprints(documents([(None, "abcd"), (None, "x")])).count() == 2
 
 
+def test_ranges_split_rows_of_one_id(documents, monkeypatch):
+    """A third of the rows has no id: ranges go by the text's hash too, and the order stays whole."""
+    from strandlake.llm import op4_merkle
+
+    monkeypatch.setattr(op4_merkle, "RANGE_ROWS", 10)
+    rows = [(None if i % 3 == 0 else i, f"text {i}") for i in range(300)] + [(7, "text 7")] * 3
+    got = op4_merkle.followed(documents(rows)).collect()
+    assert len(got) == len(rows)
+    after, before = sorted(r["next_text"] for r in got), sorted(t for _, t in rows)
+    assert after == before
+    known = sorted((i, t) for i, t in rows if i is not None)
+    follows = {r["text"]: r["next_text"] for r in got if r["doc_id"] not in (None, 7)}
+    assert all(follows[t] == u for (i, t), (_, u) in zip(known, known[1:], strict=False) if i != 7)
+
+
 def test_edits_are_located(spark):
-    df = spark.createDataFrame([("a\nb\nc\nd", "a\nb\nX\nd"), ("a\nb", "a\nb")], "one string, two string")
-    assert [r["edited_paragraphs"] for r in edits(df, "one", "two").collect()] == [[2], []]
+    df = spark.createDataFrame([("a\nb\nc\nd", "a\nb\nX\nd"), ("a\nb", "a\nb"), ("a\nb", None)], "one string, two string")
+    assert [r["edited_paragraphs"] for r in edits(df, "one", "two").collect()] == [[2], [], [0, 1]]
