@@ -1,17 +1,20 @@
 """Hierarchical multi-length packing of tokenised documents.
 
-A document's ids (and a closing id 0) are cut into full windows and one rest. Each piece is routed to the smallest
-context tier that holds it. Per pack group (a bounded number of documents, dealt by hash, so that no source or group of
-copies meets in one task) the tiers are packed from the longest to the shortest: a piece goes into the fullest open
-window that has room, so shorter tiers fill the gaps of longer ones, and opens a window of its own only where none has.
-Sequences are then dealt to step groups in turns by their fill, so that steps carry about equal numbers of ids.
+A document's ids (and a closing id 0) are cut into full windows of the longest tier and one rest, which is routed to the
+smallest context tier that holds it. Per pack group (a bounded number of documents, dealt by hash, so that no source or
+group of copies meets in one task) tiers are packed from the longest to the shortest, each into windows of its own
+length: a tier's rests go best-fit, longest first, into its windows; gaps that are left are filled from shorter tiers,
+first with the longest rest that fits and at last with the head of one, whose tail stays for its own tier. So a window is
+full, as long as its tier, and needs no padding; only what is left at a group's end is padded.
+Sequences are then dealt to step groups, each to the one with the fewest ids, so that steps carry about equal numbers.
 
 Defined cases: a null or empty text is the closing id alone; an empty table gives no piece; repeated rows and null ids
-are packed like others; other columns are never read.
+are packed like others; a very long text is one task's, cut into windows; other columns are never read.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import zlib
@@ -25,11 +28,9 @@ from pyspark.sql import functions as F
 from .common import read, slices, tasks
 
 WINDOW, TIERS, CLOSE = 1024, (64, 128, 256, 512, 1024), 0
-#: Documents of a pack group; sequences of a step group.
-GROUP_DOCS, STEP = 4096, 64
+#: Documents of a pack group; ids of a step group.
+GROUP_DOCS, STEP = 4096, 64 * WINDOW
 TOKENIZER = "byte_bpe_50k.json"
-#: Fixed value: the pre-tokenisation pattern of byte-level BPE.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -43,9 +44,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder(dict):
     """text -> its ids as little-endian unsigned 32-bit bytes.
 
-    A space after a character that isn't white space always begins a new pre-token, so a text is cut there and the
-    bytes of each chunk are remembered (up to a bound). Texts with white space around a space and those with a special
-    token's string are encoded whole.
+    With the byte-level pre-tokeniser a space after a character that isn't white space always begins a new pre-token, so a
+    text is cut there and the bytes of each chunk are remembered (up to a bound). Texts with white space around a space,
+    those with a special token's string, and all texts of other tokenisers are encoded whole.
     """
 
     MOST = 400_000
@@ -58,39 +59,23 @@ class Encoder(dict):
         self.whole = Tokenizer.from_file(path)
         spec = json.loads(open(path, encoding="utf-8").read())
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.fast = self._ranks(spec)
-
-    @staticmethod
-    def _ranks(spec: dict):
-        """The same vocabulary by rank, where merges are in the order of ids and the pre-tokeniser is the usual one; else None."""
         before = spec.get("pre_tokenizer") or {}
-        if spec["model"]["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex") or spec.get("normalizer"):
-            return None
-        import tiktoken
-
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(plain)]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-        special = {t["content"] for t in spec["added_tokens"]}
-        vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
-        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
-        if merged != sorted(merged) or any(c not in byte for t in vocab for c in t):
-            return None
-        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={bytes(byte[c] for c in t): i for t, i in vocab.items()}, special_tokens={})
+        self.in_chunks = before.get("type") == "ByteLevel" and bool(before.get("use_regex")) and not before.get("add_prefix_space") and not spec.get("normalizer")
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= self.MOST:
             self.clear()
-        value = self[chunk] = np.array(self.fast.encode_ordinary(chunk), "<u4").tobytes()
+        value = self[chunk] = self._encoded(chunk)
         return value
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.fast is None or any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.AROUND.search(text):
-            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        if not self.in_chunks or any(s in text for s in self.special) or self.AROUND.search(text):
+            return self._encoded(text)
         first, *rest = text.split(" ")
         chunks = [first, *[" " + r for r in rest]] if first else [" " + r for r in rest]
         return b"".join(map(self.__getitem__, chunks))
@@ -105,14 +90,26 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def cut_up(ids: bytes, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """(start, length, crc32) of full windows and of the rest."""
+def cut_up(ids: bytes, window: int = WINDOW) -> list[tuple[int, int, int, bytes]]:
+    """(start, length, crc32, ids) of full windows and of the rest; a full window's ids aren't needed any more."""
     view, n = memoryview(ids), len(ids) // 4
-    return [(s, min(window, n - s), zlib.crc32(view[4 * s : 4 * min(s + window, n)])) for s in range(0, n, window)]
+    parts = [(s, min(window, n - s), view[4 * s : 4 * min(s + window, n)]) for s in range(0, n, window)]
+    return [(s, k, zlib.crc32(part), b"" if k == window else _narrow(bytes(part))) for s, k, part in parts]
+
+
+def _narrow(ids: bytes) -> bytes:
+    """``ids`` in two bytes each where all are below 65,536."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if int(wide.max()) < 1 << 16 else ids
+
+
+def _part_crc(ids: bytes, whole: int, start: int, length: int) -> int:
+    """crc32 of some of a piece of ``whole`` ids."""
+    return zlib.crc32(np.frombuffer(ids, "<u2" if len(ids) == 2 * whole else "<u4")[start : start + length].astype("<u4").tobytes())
 
 
 def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The pieces of every document of ``docs`` (doc_id, text)."""
+    """The pieces of every document of ``docs`` (doc_id, text); ``ids`` of those that may be cut again."""
     path = path or tokenizer_path()
 
     def run(batches):
@@ -127,66 +124,158 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
                     at += [i] * len(own)
                     found += own
                     totals += [len(data) // 4] * len(own)
-                start, length, crc = (np.array(x, np.int64) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)).take(pa.array(at)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.array(totals, np.int64))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                *numbers, own_ids = zip(*found, strict=True)
+                columns = [pa.array(np.array(x, np.int64)) for x in (*numbers, totals)]
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)).take(pa.array(at)), *columns, pa.array(own_ids, pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"{PIECES}, ids binary")
 
 
 def tier(length: int) -> int:
     return next(t for t in TIERS if t >= length)
 
 
-def pack(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece. Tiers from the longest; in a tier longer pieces first; best fit."""
-    sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    open_windows: list[list[int]] = [[] for _ in range(window + 1)]  # by room left
-    has = 0  # bit r: a window with room r is open
-    used: list[int] = []
-    for i in np.lexsort((np.arange(len(lengths)), -lengths, -np.array([tier(int(n)) for n in lengths], np.int64))):
-        n = int(lengths[i])
-        fitting = has >> n
-        if fitting:
-            room = n + (fitting & -fitting).bit_length() - 1
-            k = open_windows[room].pop()
-            if not open_windows[room]:
-                has &= ~(1 << room)
-        else:
-            room, k = window, len(used)
-            used.append(0)
-        sequence[i], offset[i] = k, used[k]
-        used[k] += n
-        if room > n:
-            open_windows[room - n].append(k)
-            has |= 1 << (room - n)
-    return sequence, offset
+class Rests:
+    """Pieces (number, start, length) by length."""
+
+    def __init__(self):
+        self.by: dict[int, list[tuple[int, int]]] = {}
+        self.has = 0  # bit n: there is a piece of n ids
+
+    def add(self, number: int, start: int, length: int) -> None:
+        self.by.setdefault(length, []).append((number, start))
+        self.has |= 1 << length
+
+    def take(self, most: int) -> tuple[int, int, int] | None:
+        """The longest piece of at most ``most`` ids."""
+        length = (self.has & ((2 << most) - 1)).bit_length() - 1
+        if length < 0:
+            return None
+        own = self.by[length]
+        number, start = own.pop()
+        if not own:
+            self.has &= ~(1 << length)
+        return number, start, length
+
+
+def pack(lengths: np.ndarray, tiers: tuple[int, ...] = TIERS) -> list[tuple[int, int, int, int, int]]:
+    """(number, start in it, length, sequence, offset) of the parts of pieces of ``lengths`` ids, none over the longest tier."""
+    out: list[tuple[int, int, int, int, int]] = []
+    waiting = {t: Rests() for t in tiers}
+    for i in reversed(range(len(lengths))):
+        waiting[next(t for t in tiers if t >= lengths[i])].add(i, 0, int(lengths[i]))
+    sequences = 0
+    for at in reversed(range(len(tiers))):
+        length = tiers[at]
+        # The tier's own rests, best fit: the fullest window that has room.
+        windows: list[list] = []
+        by_room: dict[int, list[int]] = {}
+        open_ = 0  # bit r: a window with room r is open
+        while (own := waiting[length].take(length)) is not None:
+            fitting = open_ >> own[2]
+            if fitting:
+                room = own[2] + (fitting & -fitting).bit_length() - 1
+                k = by_room[room].pop()
+                if not by_room[room]:
+                    open_ &= ~(1 << room)
+            else:
+                room, k = length, len(windows)
+                windows.append([])
+            windows[k].append(own)
+            if room > own[2]:
+                by_room.setdefault(room - own[2], []).append(k)
+                open_ |= 1 << (room - own[2])
+        # The fullest first; a window that nothing shorter fills takes from the emptiest, so that one a tier is left at most.
+        windows.sort(key=lambda w: -sum(p[2] for p in w))
+        shorter = [waiting[t] for t in reversed(tiers[:at])]
+        k = 0
+        while k < len(windows):
+            own = windows[k]
+            room = length - sum(p[2] for p in own)
+            while room and (found := _filling(room, shorter, waiting, tiers) or _stolen(room, windows, k)):
+                own.append(found)
+                room -= found[2]
+            offset = 0
+            for number, start, n in own:
+                out.append((number, start, n, sequences, offset))
+                offset += n
+            sequences += 1
+            k += 1
+    return _joined(out, tiers)
+
+
+def _filling(room: int, shorter: list[Rests], waiting: dict[int, Rests], tiers: tuple[int, ...]) -> tuple[int, int, int] | None:
+    """The longest rest of shorter tiers that fits, else the head of the shortest there is, whose tail waits on."""
+    for rests in shorter:
+        if (found := rests.take(room)) is not None:
+            return found
+    source = next((w for w in reversed(shorter) if w.has), None)
+    if source is None:
+        return None
+    number, start, n = source.take((source.has & -source.has).bit_length() - 1)
+    waiting[next(t for t in tiers if t >= n - room)].add(number, start + room, n - room)
+    return number, start, room
+
+
+def _stolen(room: int, windows: list[list], k: int) -> tuple[int, int, int] | None:
+    """A piece, or the head of one, of the last window, if that isn't window ``k`` itself."""
+    if len(windows) == k + 1:
+        return None
+    number, start, n = windows[-1].pop()
+    if n > room:
+        windows[-1].append((number, start + room, n - room))
+    elif not windows[-1]:
+        windows.pop()
+    return number, start, min(n, room)
+
+
+def _joined(parts: list[tuple[int, int, int, int, int]], tiers: tuple[int, ...]) -> list[tuple[int, int, int, int, int]]:
+    """Windows that found no more to fill them, and don't end at a tier's length, are put together in windows of the longest."""
+    fill: dict[int, int] = {}
+    for _, _, n, k, _ in parts:
+        fill[k] = fill.get(k, 0) + n
+    short = sorted((k for k, n in fill.items() if n not in tiers), key=lambda k: (-fill[k], k))
+    rooms: list[list[int]] = []  # [sequence, ids so far]
+    moved: dict[int, tuple[int, int]] = {}
+    for k in short:
+        to = next((r for r in rooms if r[1] + fill[k] <= tiers[-1]), None)
+        if to is None:
+            rooms.append(to := [k, 0])
+        moved[k] = (to[0], to[1])
+        to[1] += fill[k]
+    return [(i, s, n, *((moved[k][0], moved[k][1] + o) if k in moved else (k, o))) for i, s, n, k, o in parts]
 
 
 def steps(sequence: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The step group of each piece's sequence: sequences by their fill, dealt in turns, back and forth."""
-    fill = np.bincount(sequence, lengths)
-    groups = -(-len(fill) // STEP)
-    turn = np.arange(len(fill)) % (2 * groups)
+    """The step group of each part's sequence: the longest first, each to the group with the fewest ids."""
+    names, at = np.unique(sequence, return_inverse=True)
+    fill = np.bincount(at, lengths)
+    loads = [(0, g) for g in range(max(1, int(-(-fill.sum() // STEP))))]
     of = np.empty(len(fill), np.int64)
-    of[np.argsort(-fill, kind="stable")] = np.minimum(turn, 2 * groups - 1 - turn)
-    return of[sequence]
+    for k in np.argsort(-fill, kind="stable"):
+        ids, g = heapq.heappop(loads)
+        of[k] = g
+        heapq.heappush(loads, (ids + int(fill[k]), g))
+    return of[at]
 
 
 def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Every piece of every document with its sequence, offset and step group."""
-    cut_pieces = pieces(docs, path)
     groups = max(1, docs.count() // GROUP_DOCS)
+    cut_pieces = pieces(docs, path)
     dealt = cut_pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
 
     def run(batches):
         whole = pd.concat(list(batches), ignore_index=True)
         for group, rows in whole.groupby("_group", sort=True):
             rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32", "doc_tokens"], ascending=[False, True, True, True, True])
-            sequence, offset = pack(rows["length"].to_numpy())
-            rows["sequence_id"] = (int(group) << 32) + sequence
-            rows["offset"] = offset
-            rows["step_group"] = (int(group) << 32) + steps(sequence, rows["length"].to_numpy())
-            yield rows.drop(columns="_group")
+            parts = sorted(pack(rows["length"].to_numpy()))
+            number, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*parts, strict=True))
+            out = rows.iloc[number].reset_index(drop=True)
+            each = zip(out["ids_crc32"].to_list(), out["ids"].to_list(), out["length"].to_list(), start.tolist(), length.tolist(), strict=True)
+            crc = [c if n == whole else _part_crc(ids, whole, s, n) for c, ids, whole, s, n in each]
+            out = out.assign(start=out["start"] + start, length=length, ids_crc32=crc, sequence_id=(int(group) << 32) + sequence, offset=offset, step_group=(int(group) << 32) + steps(sequence, length))
+            yield out.drop(columns=["_group", "ids"])
 
     def guarded(batches):
         kept = [b for b in batches if len(b)]

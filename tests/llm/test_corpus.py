@@ -421,35 +421,80 @@ def test_packing(documents):
     rows = [(i, " ".join(rng.choices(pieces, k=rng.randrange(40)))) for i in range(200)]
     rows += [(300, None), (301, ""), (302, prose(rng, 5000)), (302, prose(rng, 50)), (None, "x")]
     whole = Tokenizer.from_file(op9_packing.tokenizer_path())
-    want = Counter()
-    for i, t in rows:
-        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 0]
-        for s in range(0, len(ids), 1024):
-            part = np.array(ids[s : s + 1024], "<u4").tobytes()
-            want[i, s, len(part) // 4, zlib.crc32(part), len(ids)] += 1
     got = op9_packing.packed(documents(rows)).collect()
-    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
+    of = defaultdict(list)
+    for i, t in rows:
+        of[i].append([*whole.encode(t or "", add_special_tokens=False).ids, 0])
+    pieces_of = Counter()
+    for r in got:
+        # Rows of one id are told apart by their length.
+        ids = next(x for x in of[r["doc_id"]] if len(x) == r["doc_tokens"])
+        part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4")
+        assert len(part) == r["length"] and zlib.crc32(part.tobytes()) == r["ids_crc32"]
+        pieces_of.update((r["doc_id"], len(ids), k) for k in range(r["start"], r["start"] + r["length"]))
+    assert pieces_of == Counter((i, len(x), k) for i, own in of.items() for x in own for k in range(len(x)))
     by = defaultdict(list)
     for r in got:
         by[r["sequence_id"]].append((r["offset"], r["length"]))
-    padding = 0
+    padding, lengths = 0, Counter()
     for own in by.values():
         at = 0
         for offset, n in sorted(own):
             assert offset == at
             at += n
         assert at <= 1024
+        lengths[at] += 1
         padding += 0 if at & (at - 1) == 0 else 1024 - at
     assert padding < 1024
+    # Shorter tiers have windows of their own.
+    assert lengths[64] > 5 and lengths[1024]
     assert op9_packing.packed(documents([])).count() == 0
 
 
+def test_tiers_pack_and_fill():
+    rng = np.random.default_rng(22)
+    for lengths in (rng.integers(1, 1025, 700), rng.integers(300, 500, 700), rng.integers(1, 40, 700), np.full(90, 1024), np.array([1])):
+        lengths = np.sort(lengths)[::-1]
+        for tiers in (op9_packing.TIERS, (1024,)):
+            parts = op9_packing.pack(lengths, tiers)
+            held, ends = defaultdict(list), Counter()
+            for i, start, n, k, offset in parts:
+                assert n > 0
+                held[i].append((start, n))
+                ends[k] += n
+            for i, n in enumerate(lengths):
+                at = 0
+                for start, k in sorted(held[i]):
+                    assert start == at
+                    at += k
+                assert at == n
+            for k in ends:
+                at = 0
+                for offset, n in sorted((o, n) for _, _, n, s, o in parts if s == k):
+                    assert offset == at
+                    at += n
+            assert sum(1024 - n for n in ends.values() if n & (n - 1)) < 2 * 1024
+            short = [n for n in ends.values() if n < 1024]
+            if len(tiers) == 1:
+                assert len(short) <= 1
+            elif 300 <= lengths.min() < 512:
+                assert len(short) > 100 and ends.most_common()[0][1] <= 1024
+
+
+def test_step_groups_are_even():
+    rng = np.random.default_rng(23)
+    fill = rng.choice([64, 128, 256, 512, 1024], 3000)
+    of = op9_packing.steps(np.arange(3000), fill)
+    loads = np.bincount(of, fill)
+    assert loads.max() - loads.min() <= 64 and loads.max() <= op9_packing.STEP
+
+
 def test_encoder_agrees_on_white_space():
     from tokenizers import Tokenizer
 
     rng, path = random.Random(11), op9_packing.tokenizer_path()
     own, whole = op9_packing.encoder(path), Tokenizer.from_file(path)
-    assert own.fast is not None
+    assert own.in_chunks
     for _ in range(1500):
         text = "".join(rng.choices([" ", "  ", "\n", "\t", "a", "B1", "'s", "é", ".", " ", "　", " the"], k=rng.randrange(14)))
         assert np.frombuffer(own.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
