@@ -240,6 +240,64 @@ def test_compact_windows_against_all_ranges():
         assert seen == found
 
 
+def test_overlaps_against_all_runs():
+    rng = np.random.default_rng(71)
+    for n in (5, 9, 40, 150):
+        width = 5
+        ranks = [rng.permutation(n).astype(np.uint64) + 1 for _ in range(2)]
+        cuts = rng.random(n) < 0.04
+        for r in ranks:
+            r[cuts] = 0
+        one, two = (op7_passages.compact_windows(r, width) for r in ranks)
+        wanted, before = [], None
+        for s in range(n - width + 1):
+            now = None if cuts[s : s + width].any() else tuple(int(s + r[s : s + width].argmin()) for r in ranks)
+            if now is not None and now != before:
+                wanted.append((*now, s))
+            before = now
+        i, j, at = op7_passages.overlaps(one, two, width)
+        assert list(zip(one[1][i].tolist(), two[1][j].tolist(), at.tolist(), strict=True)) == wanted
+
+
+def covered(rows):
+    """(document, word) for all words of passages that an earlier document has, over all pairs."""
+    own = {i: op7_passages.shingles(op7_passages.word_hashes(t), 5) for i, t in rows}
+    out = set()
+    for (i, _), (j, _) in itertools.combinations(sorted(rows), 2):
+        for first, n, _ in op7_passages.shared_passages(own[i], own[j]):
+            out |= {(j, w) for w in range(first, first + n)}
+    return out
+
+
+def test_passages_against_all_pairs(spark, documents):
+    """Edited passages, some with a frequent line inside, some shared in part with the least document; over 1, 4 and 16 partitions."""
+    rng = random.Random(83)
+    line = [f"line{i}" for i in range(12)]
+    rows, i = [(0, " ".join([*(f"o{rng.getrandbits(32)}" for _ in range(40)), *line, *(f"o{rng.getrandbits(32)}" for _ in range(40))]))], 1
+    for group in range(40):
+        passage = [f"p{group}x{j}" for j in range(rng.randrange(52, 110))]
+        if group % 2:
+            passage[20:20] = line
+        for _ in range(rng.choice([2, 3, 6])):
+            own = list(passage)
+            for _ in range(rng.choice([0, 1, 1, 2]) if len(own) > 80 else rng.choice([0, 1])):
+                own[rng.randrange(len(own))] = f"edit{rng.getrandbits(32)}"
+            if group % 4 == 3 and rng.random() < 0.3:
+                own = own[: len(own) // 2]
+            rows.append((i, " ".join([*(f"a{rng.getrandbits(32)}" for _ in range(rng.randrange(60))), *own, *(f"z{rng.getrandbits(32)}" for _ in range(rng.randrange(60)))])))
+            i += 1
+    for _ in range(60):
+        rows.append((i, " ".join([*(f"u{rng.getrandbits(32)}" for _ in range(30)), *line, *(f"u{rng.getrandbits(32)}" for _ in range(30))])))
+        i += 1
+    wanted, seen = covered(rows), []
+    for parts in (1, 4, 16):
+        found = op7_passages.passages(documents(rows).repartition(parts)).collect()
+        seen.append(sorted(tuple(r) for r in found))
+    assert seen[0] == seen[1] == seen[2]
+    got = {(r[0], w) for r in seen[0] for w in range(r[2], r[2] + r[3])}
+    assert got <= wanted and len(got) >= 0.99 * len(wanted)
+
+
 def test_passages(documents):
     rng = random.Random(8)
     passage, other = prose(rng, 70, 5000).split(), prose(rng, 51, 5000).split()
@@ -287,7 +345,8 @@ def test_passages_at_the_least_similarity(documents):
         for k, own in enumerate((passage, edited)):
             rows.append((2 * i + k, " ".join([*(f"a{rng.getrandbits(32)}" for _ in range(40)), *own, *(f"z{rng.getrandbits(32)}" for _ in range(40))])))
     got = {(r["a"], r["b"]) for r in op7_passages.candidates(documents(rows)).collect()}
-    assert {(2 * i, 2 * i + 1) for i in range(300)} <= got
+    # All bands miss a passage at the least similarity with probability 0.0022.
+    assert len({(2 * i, 2 * i + 1) for i in range(300)} - got) <= 3
 
 
 def test_passages_in_a_looser_stretch():
