@@ -586,6 +586,12 @@ def test_search_is_exact(documents):
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in best])
         assert {i for i, s in got[q] if s > best[-1][1] * (1 + 1e-9)} == {i for i, s in best if s > best[-1][1] * (1 + 1e-9)}
     assert op5_topk.search(documents([]), documents([])).count() == 0
+    # Each row of a repeated id is a query; rows of one id are each an answer; a long text is a query and an answer.
+    two = documents([(100, "w1 w2 w3"), (100, "w50 w51"), (100, "w1 w2 w3"), (200, "w9 " * 40_000)])
+    alone = {t: [(r["doc_id"], r["rank"], r["score"]) for r in op5_topk.search(docs, documents([(100, t)])).orderBy("rank").collect()] for t in ("w1 w2 w3", "w50 w51")}
+    found = Counter((r["doc_id"], r["rank"], r["score"]) for r in op5_topk.search(docs, two).filter("query_id = 100").collect())
+    assert found == Counter([*alone["w1 w2 w3"], *alone["w50 w51"], *alone["w1 w2 w3"]])
+    assert Counter(r["query_id"] for r in op5_topk.search(two, two).collect()) == {100: 5, 200: 1}
 
 
 def test_shards_agree_with_one_index(documents, monkeypatch):
@@ -604,6 +610,11 @@ def test_shards_agree_with_one_index(documents, monkeypatch):
     order = np.lexsort((doc, -score))[:7]
     assert set(top) == set(doc[order]) and sorted(best) == pytest.approx(sorted(score[order]))
     assert len(index.search(query, times, 7, float(score.max()) + 1)[0]) == 0
+    # The pivot leaves out terms, never an answer: from each floor on, all that reach it.
+    for floor in np.quantile(score, [0.2, 0.6, 0.9, 0.99]):
+        many, found = index.search(query, times, 500, float(floor))
+        assert set(many) == set(doc[score >= floor])
+        assert dict(zip(many.tolist(), found.tolist(), strict=True)) == {d: s for d, s in zip(doc.tolist(), score.tolist(), strict=True) if s >= floor}
 
 
 # ---- archives ----
