@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
-
-def sweep(df: DataFrame) -> None:
-    """Lets Spark delete what rounds before have shuffled and written: it does so once the driver has dropped them, which
-    otherwise waits until the driver's heap is full."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+from .common import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,12 +17,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
-        now = cut(_small(_large(now)))
+        before, now = now, cut(_small(_large(now)))
+        discard(before)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if seen == mark:
             break
         seen = mark
-        sweep(now)
     # Stable edges are stars: each node to its component's least.
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b")).distinct()
 

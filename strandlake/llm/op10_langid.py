@@ -6,7 +6,8 @@ vocabulary, the Nyström landmarks and one-versus-rest kernel ridge regressions.
 matrix times the landmarks' matrix times the coefficients.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any labelled row all are ``und``;
-a null id counts as an id of empty text; repeated rows are each predicted; other columns are never read.
+a null id counts as an id of empty text; repeated rows are each predicted; a very long text is predicted alone in its
+batch; an empty table gives no row; columns of any name may stand beside those that are read.
 """
 
 from __future__ import annotations
@@ -15,16 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import fraction, read, slices
+from .common import carried, cut, fraction, read, slices
 
 ORDERS = (1, 2, 3)
 #: The most n-grams kept of each order: those in most sampled texts.
 KEPT = {1: 128, 2: 1024, 3: 2944}
-#: Rows of a language in the sample, expected; languages at most; rows at most.
-SAMPLE_EACH, SAMPLE_LANGS, SAMPLE_MOST = 800, 64, 12_000
+#: Rows of a language in the sample at most; rows of all languages, as long as each has SAMPLE_LEAST. Every language of a
+#: labelled row is learned.
+SAMPLE_EACH, SAMPLE_MOST, SAMPLE_LEAST = 800, 12_000, 8
 LANDMARKS, RIDGE = 160, 1e-3
 UNKNOWN = "und"
 
@@ -86,14 +89,18 @@ def _scaled(found: np.ndarray, grams: dict[int, np.ndarray]) -> np.ndarray:
 
 
 def _sample(docs: DataFrame) -> DataFrame | None:
-    """A bounded sample of labelled learning rows, about as many of each language; None without any."""
+    """id, lang, text: a bounded sample of labelled learning rows, as many of each language at most; None without any."""
     rows = docs.filter("not _held and lang is not null and _letters")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS).collect()
-    if not counts:
+    rows = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "lang", "text", fraction(F.col("doc_id"), F.xxhash64("text"), F.lit("sample")).alias("_at"))
+    counts = cut(rows.groupBy("lang").agg(F.count("*").alias("_rows")))
+    langs = counts.count()
+    if not langs:
         return None
-    each = min(SAMPLE_EACH, SAMPLE_MOST // len(counts) * 2 // 3)
-    chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["count"]))])
-    return rows.filter(fraction(F.col("doc_id"), F.lit("sample")) < F.try_element_at(chance, F.col("lang"))).limit(SAMPLE_MOST)
+    each = max(SAMPLE_LEAST, min(SAMPLE_EACH, SAMPLE_MOST // langs))
+    # Rows that can be among a language's first by a hash; then the first themselves.
+    near = rows.join(counts, "lang").filter(F.col("_at") * F.col("_rows") < 2 * each + 20)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_at", "id"))
+    return cut(near.withColumn("_nth", first).filter(F.col("_nth") <= each).select("id", "lang", "text"))
 
 
 def fit(docs: DataFrame) -> Model | None:
@@ -101,7 +108,6 @@ def fit(docs: DataFrame) -> Model | None:
     sample = _sample(docs)
     if sample is None:
         return None
-    sample = sample.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "lang", "text")
 
     def gram_counts(batches):
         for batch in batches:
@@ -185,18 +191,18 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of ``docs`` whose text has a language, with the columns that ``docs`` has; without a model, those with a letter."""
-    shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def decide(batches):
         for batch in batches:
-            for first, texts in slices(batch.column("text"), most_rows=256):
+            for first, texts in slices(batch.column("_text"), most_rows=256):
                 lang, _ = predict_batch(texts, shared.value)
                 letters = batch.column("_letters").slice(first, len(texts)).to_pylist()
                 keep = [k and (v != UNKNOWN or shared.value is None) for k, v in zip(letters, lang, strict=True)]
-                yield batch.slice(first, len(texts)).select(schema.names).filter(pa.array(keep, pa.bool_()))
+                yield batch.slice(first, len(texts)).select(["_row"]).filter(pa.array(keep, pa.bool_()))
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("_letters", letters).mapInArrow(decide, schema)
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters")
+    return carried(docs, F.col("text").alias("_text"), letters).mapInArrow(decide, StructType().add("_row", docs.schema)).select("_row.*")
 
 
 def language_model(docs: DataFrame) -> Model | None:

@@ -5,13 +5,15 @@
    round, and stops at the round after which no slot can fall: a text with many shingles needs one or two rounds.
 2. Equal sets are one representative from here on (the least id).
 3. Members of a band's bucket are paired with its first member, pairs are verified on whole sets, links make components.
-4. Buckets whose members are still in several components are searched further: neighbours by size, then all pairs across
-   components that their sizes, the shingles that they alone have and sketches of 1024 bits don't rule out.
+4. Buckets whose members are still in several components are searched further: the components' least members are paired
+   with the bucket's; then members of different components are joined by their rarest shared shingles, which leaves out
+   only pairs that their sets' sizes and shingles rule out for sure.
 So a group of thousands of copies costs about as many pairs as it has members, and a link is only left untested inside
 one component, where it changes nothing.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; so are rows with a null id (component
-null, kept); rows of one id are one node; an empty table gives no row; other columns are never read.
+null, kept); rows of one id are one node; a very long text has a long set, worked on in pieces; an empty table gives no
+row; columns of any name may stand beside those that are read.
 """
 
 from __future__ import annotations
@@ -21,16 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mixed, read, shingles, slices, word_hashes
-from .graph import components, sweep
+from .common import carried, cut, discard, mixed, read, shingles, slices, word_hashes
+from .graph import components
 
 #: Bands and rows of a band. A pair at similarity 0.8 is in no common bucket with probability (1 - 0.8**3)**22 = 1.4e-7.
 BANDS, ROWS = 22, 3
 #: Rows (two ids and two keys at most, so about 20 MB) that may be broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 400_000
-#: Bits of the sketches by which pairs left after two rounds are ruled out, and how many may differ: at similarity 0.8 a
-#: tenth differ, with standard deviation 9.6; 141 is four of them more (as at similarity 0.725).
-BITS, DIFFER = 1024, 141
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -139,24 +138,24 @@ def _paired(a: str, b: str) -> list:
 def links(docs: DataFrame, marked: DataFrame, k: int, percent: int) -> DataFrame:
     """node, component over the representatives of ``marked`` (sketches of ``docs``) that have a link."""
     alone = marked.filter("doc_id is not null and n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    rows = alone.select("rep", "key", "n", F.explode("bands").alias("band"))
-    member = F.struct("rep", "key").alias("m")
-    by = Window.partitionBy("band")
-    buckets = rows.withColumn("_size", F.count("*").over(by)).filter("_size > 1").select("band", "rep", "key", "n")
-    buckets = cut(buckets)
-    first = buckets.select("band", member).withColumn("f", F.min("m").over(by)).filter("m.rep <> f.rep")
+    rows = cut(alone.select("rep", "key", "n", F.explode("bands").alias("band")))
+    # Least members and counts meet map-side; a band with most of the rows can be split in the joins.
+    firsts = cut(rows.groupBy("band").agg(F.min(F.struct("rep", "key")).alias("f"), F.count("*").alias("_size")).filter("_size > 1").select("band", "f"))
+    buckets = cut(rows.join(firsts, "band"))
+    discard(rows, firsts)
+    first = buckets.select(F.struct("rep", "key").alias("m"), "f").filter("m.rep <> f.rep")
     tested = cut(first.select(*_paired("m", "f")).distinct())
     # The sets of all that are in a bucket with others, fetched once for all rounds.
-    library = cut(_sets(docs, _few(cut(buckets.select("rep", "key").distinct())), k))
+    shared = cut(buckets.select("rep", "key").distinct())
+    library = cut(_sets(docs, _few(shared), k))
     found = cut(_verified(library, tested, percent))
     joined = components(found)
-    for further in (_neighbours, _rest):
-        left = buckets.join(joined, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component")
-        left = left.withColumns({"_low": F.min("c").over(by), "_high": F.max("c").over(by)}).filter("_low <> _high").drop("_low", "_high")
-        pairs = further(cut(left), library, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "a_key", "b", "b_key")
-        pairs = cut(pairs)
-        del left
-        sweep(pairs)
+    for further in (_chained, _rest):
+        left = cut(buckets.drop("f").join(joined, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component"))
+        split = left.groupBy("band").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).filter("_low <> _high").select("band")
+        left = cut(left.join(split, "band", "left_semi"))
+        pairs = cut(further(left, library, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "a_key", "b", "b_key"))
+        discard(left)
         if pairs.isEmpty():
             continue
         tested = tested.union(pairs)
@@ -165,61 +164,46 @@ def links(docs: DataFrame, marked: DataFrame, k: int, percent: int) -> DataFrame
     return joined
 
 
-def _neighbours(left: DataFrame, library: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members that are next to each other in a bucket, by size, and in different components."""
-    order = Window.partitionBy("band").orderBy("n", "rep")
-    rows = left.select("band", "n", "rep", F.struct("rep", "key", "c").alias("m")).withColumn("o", F.lag("m").over(order))
-    return rows.filter("o is not null and o.c <> m.c and o.rep <> m.rep").select(*_paired("m", "o")).distinct()
+def _chained(left: DataFrame, library: DataFrame, percent: int) -> DataFrame:
+    """The least member of each component in a bucket with the least member of all that isn't in that component's."""
+    heads = left.groupBy("band", "c").agg(F.min(F.struct("rep", "key", "n", "c")).alias("m"))
+    lead = heads.groupBy("band").agg(F.min("m").alias("o"))
+    alike = 100 * F.least("m.n", "o.n") >= percent * F.greatest("m.n", "o.n")
+    return heads.join(lead, "band").filter(F.col("m.c") != F.col("o.c")).filter(alike).select(*_paired("m", "o")).distinct()
 
 
 def _rest(left: DataFrame, library: DataFrame, percent: int) -> DataFrame:
-    """All pairs across components of a bucket that can be alike at all.
+    """All pairs across components of members that can be alike at all, found by what they share and not by their bucket.
 
-    Shingles that no other member of these buckets has are in no intersection, so a set of n with u of them shares n - u
-    at most. A text with edits of its own is thereby ruled out against every other at once, and exactly. Of the others,
-    pairs are ruled out whose sketches differ in more bits than pairs at the limit do but once in 30,000 times.
+    Only shingles that two components have count here: a set of n with s of them shares s at most, so it goes if s is too
+    few. Of the others, pairs that are alike enough have one of each other's rarest shingles in common: of a set of n,
+    n - ceil(percent n) + 1 in one order for all, those of one component first and then by how many sets have them. So a
+    frequent shingle makes no pair unless sets have little else, and none is left out.
     """
-    members = cut(left.select("rep", "key", "n").distinct())
+    members = cut(left.select("rep", "key", "n", "c").distinct())
 
     def spread(batches):
         for batch in batches:
-            for rep, own in zip(batch.column("rep").to_pylist(), batch.column("set").to_pylist(), strict=True):
+            rep, n, c = (batch.column(x).to_numpy() for x in ("rep", "n", "c"))
+            for i, own in enumerate(batch.column("set").to_pylist()):
                 own = np.frombuffer(own, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rep)), pa.array(own)], ["rep", "shingle"])
-
-    sets = library.join(_few(members.select("key", "rep")), "key").select("rep", "set").dropDuplicates(["rep"])
-    lone = sets.mapInArrow(spread, "rep long, shingle long").groupBy("shingle").agg(F.count("*").alias("_n"), F.min("rep").alias("_rep")).filter("_n = 1").groupBy("_rep").agg(F.count("*").alias("u"))
-    shared = members.join(lone, F.col("rep") == F.col("_rep"), "left").select("rep", (F.col("n") - F.coalesce("u", F.lit(0))).alias("s"))
-    # What shares too little even with a set as small as its share goes before any pair is made.
-    shared = shared.join(members.select("rep", "n"), "rep").filter(f"100 * s >= {percent} * n").drop("n")
-    shared = cut(sets.join(_few(cut(shared)), "rep").select("rep", "s", "set").mapInArrow(_bits, "_rep long, s long, bits array<long>"))
-    everywhere = left.groupBy("rep").agg(F.array_sort(F.collect_list("band")).alias("all"))
-    kept = left.join(shared, F.col("rep") == F.col("_rep")).drop("_rep").join(everywhere, "rep")
-    kept = cut(kept.select("band", F.struct("rep", "key", "c", "n", "s", "bits", "all").alias("m")))
+                for at in range(0, len(own), 1 << 16):
+                    part = own[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), x)) for x in (rep[i], n[i], c[i])] + [pa.array(part)], ["rep", "n", "c", "shingle"])
+
+    sets = library.join(_few(members), "key").select("rep", "n", "c", "set").dropDuplicates(["rep"])
+    each = cut(sets.mapInArrow(spread, "rep long, n long, c long, shingle long"))
+    across = each.groupBy("shingle").agg(F.count("*").alias("d"), F.min("c").alias("_low"), F.max("c").alias("_high")).filter("_low <> _high").select("shingle", "d")
+    each = cut(each.join(across, "shingle"))
+    enough = each.groupBy("rep").agg(F.count("*").alias("s")).join(members.select("rep", "n"), "rep").filter(f"100 * s >= {percent} * n").select("rep", "s")
+    # A set's shingles at a time, so no group is larger than a document.
+    order = Window.partitionBy("rep").orderBy("d", "shingle")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("s"))
+    rare = each.join(_few(cut(enough)), "rep").withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= prefix)
+    rare = cut(rare.join(members.select("rep", "key"), "rep").select("shingle", F.struct("rep", "key", "c", "n", "s").alias("m")))
     both, size = F.least("m.s", "o.s"), F.col("m.n") + F.col("o.n")
-    differ = sum((F.bit_count(F.col("m.bits")[i].bitwiseXOR(F.col("o.bits")[i])) for i in range(BITS // 64)), F.lit(0))
-    alike = (F.col("m.c") != F.col("o.c")) & (F.col("m.rep") < F.col("o.rep")) & (100 * both >= percent * (size - both)) & (100 * F.least("m.n", "o.n") >= percent * F.greatest("m.n", "o.n"))
-    # A pair comes out of the first bucket that both are in alone.
-    first = F.array_min(F.array_intersect("m.all", "o.all")) == F.col("band")
-    one, two = kept.withColumnRenamed("band", "_band"), kept.withColumnRenamed("m", "o")
-    return one.join(two, (F.col("_band") == F.col("band")) & alike & (differ <= DIFFER) & first).select(*_paired("m", "o"))
-
-
-def _bits(batches):
-    """A bit of the least of each of BITS permutations: of two sets, (1 + similarity) / 2 of the bits agree."""
-    odd, turn = (mixed(np.arange(BITS, dtype=np.uint64), i) for i in (11, 12))
-    odd |= np.uint64(1)
-    for batch in batches:
-        out = []
-        for own in batch.column("set").to_pylist():
-            own, least = np.frombuffer(own, np.uint64), np.full(BITS, _TOP, np.uint64)
-            for at in range(0, len(own), 256):
-                part = own[at : at + 256, None] ^ turn
-                part *= odd
-                np.minimum(least, part.min(axis=0), out=least)
-            out.append(np.packbits((mixed(least) & np.uint64(1)).astype(np.uint8)).view(np.int64))
-        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("s"), listed], ["_rep", "s", "bits"])
+    alike = (F.col("m.c") != F.col("o.c")) & (F.col("m.rep") < F.col("o.rep")) & (100 * both >= percent * (size - both))
+    return rare.join(rare.withColumnsRenamed({"m": "o", "shingle": "_shingle"}), (F.col("shingle") == F.col("_shingle")) & alike).select(*_paired("m", "o")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -235,8 +219,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that are near-duplicates of one with a lesser id; columns as they are."""
-    gone = near_duplicates(docs, k, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs.select("doc_id", "text"), k, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return carried(docs, F.col("doc_id").cast("long").alias("_id")).join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ def documents(spark):
             from pyspark.sql import functions as F
 
             found = found.withColumns({"score": F.lit("x"), "key": F.lit(1), "component_id": F.lit("y"), "size": F.lit(None).cast("string"), "_at": F.lit(2)})
+            clash = "_gone _id _spans _size _source _takes _words _row _length _text_hash _letters _text _hash _nth _first _no slot words _doc _chars _range copies part bucket rep band n c sig at".split()
+            found = found.withColumns({c: F.lit(c) for c in clash})
         return found
 
     return build

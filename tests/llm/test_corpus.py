@@ -191,6 +191,22 @@ def test_near_duplicates(documents, k):
     assert op6_minhash.near_duplicates(documents([]), k).count() == 0
 
 
+def test_links_that_only_chain(documents):
+    """Versions of one text, each 0.8 alike to the next and less to the others, and texts of common lines: no link is lost."""
+    rng = random.Random(61)
+    base, rows = [f"b{i}" for i in range(200)], []
+    for i in range(60):
+        own = list(base)
+        for j in range(0, i * 3, 3):
+            own[(j * 7) % 200] = f"v{j}"
+        rows.append((i, " ".join(own)))
+    lines = [" ".join(f"l{i}x{j}" for j in range(9)) for i in range(12)]
+    rows += [(100 + i, " ".join(lines[k] for k in sorted(rng.sample(range(12), rng.randrange(6, 12))))) for i in range(120)]
+    want, _ = groups(rows, 4)
+    got = {r["doc_id"]: r["component_id"] for r in op6_minhash.near_duplicates(documents(rows), 4).collect()}
+    assert [got[i] for i, _ in rows] == want
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
@@ -671,6 +687,11 @@ def test_language_identification(documents):
         assert (r["lang_pred"] == "und") == (i in (400, 401, 402))
     right = [got[i]["lang_pred"] == lang for i, _, lang in rows if i is not None and i < 400 and lang and got[i]["held_out"]]
     assert np.mean(right) > 0.97
+    # Repeated rows, and more languages than any list of them: all are learned.
+    many = documents([(j, f"{chr(0x100 + j % 70) * 3} {chr(0x100 + j % 70) * 2} {j % 7}", f"l{j % 70}") for j in range(1400)] + [(3, rows[3][1], "en")] * 3)
+    wide = op10_langid.language_model(many)
+    assert len(wide.langs) >= 70
+    assert op10_langid.identify(many, wide).count() == 1403
     kept = op10_langid.keep_known(docs, model)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
     assert {r["lang_pred"] for r in op10_langid.identify(documents([(1, "abc", None)]), None).collect()} == {"und"}
