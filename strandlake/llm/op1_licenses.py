@@ -2,13 +2,14 @@
 
 Every text's rolling two-word hashes are joined to the positions of those word pairs in licence templates. A pair at
 word p of a text and word t of a template votes for diagonal p - t. Votes are summed by diagonal; neighbouring
-diagonals (words put in or left out) are merged into spans; a span counts if enough of the template's own pairs are
-really there. Pairs are compared as words after the hash join, so no hash collision votes.
+diagonals (words put in or left out) are merged into spans, of a bounded width; a span counts if enough of the template's
+own pairs are really there, in their order. Work grows with a text's length alone, and templates may have any. Pairs are compared as words after the hash join, so no hash collision votes.
 
 The base phrases are templates that need every pair on one diagonal: each such diagonal is one place.
 
 Defined cases: a null text is empty; a text without words has n_words 0 and no label; equal rows are each returned;
-null ids are ids; an empty table gives no row; other columns are never read.
+null ids are ids; a very long text is exploded to rows of two words each; an empty table gives no row; other columns are
+never read.
 """
 
 from __future__ import annotations
@@ -68,34 +69,45 @@ def templates(spark: SparkSession) -> DataFrame:
 def _votes(docs: DataFrame) -> DataFrame:
     """doc_id, text's hash and length, and a row for every pair of words that a template has, and one more for each text."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text"), words(F.col("text")).alias("_words"))
-    pairs = F.when(F.size("_words") > 1, F.zip_with(F.slice(F.col("_words"), 1, F.size("_words") - 1), F.slice(F.col("_words"), 2, F.size("_words")), lambda a, b: F.xxhash64(a, b)))
-    # The text's own row: a null hash after its last pair.
-    hashes = F.concat(F.coalesce(pairs, F.array().cast("array<bigint>")), F.array(F.lit(None).cast("bigint")))
-    each = base.select("*", F.size("_words").alias("n_words"), F.posexplode(hashes).alias("pos", "hash"))
-    joined = each.join(F.broadcast(templates(docs.sparkSession)), F.col("hash").eqNullSafe(F.col("_hash")))
-    right = F.col("first").isNull() | ((F.try_element_at("_words", F.col("pos") + 1) == F.col("first")) & (F.try_element_at("_words", F.col("pos") + 2) == F.col("second")))
+    base = base.withColumn("n_words", F.size("_words"))
+    pair = lambda a, b: F.struct(F.xxhash64(a, b).alias("hash"), a.alias("one"), b.alias("two"))
+    pairs = F.when(F.col("n_words") > 1, F.zip_with(F.slice(F.col("_words"), 1, F.col("n_words") - 1), F.slice(F.col("_words"), 2, F.col("n_words")), pair))
+    # The text's own row: nulls after its last pair. A row has its two words, never the whole text.
+    none = F.lit(None).cast("struct<hash:bigint,one:string,two:string>")
+    each = base.select("doc_id", "_text", "n_words", F.posexplode(F.concat(F.coalesce(pairs, F.array().cast("array<struct<hash:bigint,one:string,two:string>>")), F.array(none))).alias("pos", "_pair"))
+    joined = each.join(F.broadcast(templates(docs.sparkSession)), F.col("_pair.hash").eqNullSafe(F.col("_hash")))
+    right = F.col("first").isNull() | ((F.col("_pair.one") == F.col("first")) & (F.col("_pair.two") == F.col("second")))
     return joined.filter(right).select("doc_id", "_text", "n_words", "template", "label", "base", "pairs", "at", "pos", (F.col("pos") - F.col("at")).alias("diagonal"))
 
 
+def in_order(hits: Column) -> Column:
+    """How many of (at, pos), in order of ``at``, are one after the other in the text too: the pairs that a span verifies."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("at"), F.lit(-1).alias("pos"))
+    go = lambda s, h: (h["at"] > s["at"]) & (h["pos"] > s["pos"])
+    step = lambda s, h: F.when(go(s, h), F.struct((s["n"] + 1).alias("n"), h["at"].alias("at"), h["pos"].alias("pos"))).otherwise(s)
+    return F.aggregate(F.array_sort(hits), start, step, lambda s: s["n"])
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """A row for each text (template null) and each verified span: doc_id, _text, n_words, copies, template, label, base,
-    first (the word where the template would begin), places (base: diagonals with every pair), share."""
+    first (the word where the template would begin), share."""
     key = ["doc_id", "_text", "n_words"]
-    # Equal rows vote together; how many they are is the count of the texts' own rows.
-    diagonals = _votes(docs).groupBy(*key, "template", "label", "base", "pairs", "diagonal").agg(
-        F.count("*").alias("votes"),
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce("at", F.lit(0)))).alias("bits"),
-    )
+    # Equal rows vote together; how many they are is the count of the texts' own rows. A diagonal has each of a template's
+    # places once.
+    diagonals = _votes(docs).groupBy(*key, "template", "label", "base", "pairs", "diagonal").agg(F.count("*").alias("votes"), F.collect_set("at").alias("ats"))
     per = Window.partitionBy(*key, "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(per)
-    # A base place stands alone; of a notice, near diagonals are one span.
+    # A base place stands alone; of a notice, near diagonals are one span, anew at least every template's length of them.
     opens = F.when(F.col("base") | F.col("base").isNull() | gap.isNull() | (gap > NEAR), 1).otherwise(0)
-    merged = diagonals.withColumn("_opens", opens).withColumn("_span", F.sum("_opens").over(per.rowsBetween(Window.unboundedPreceding, 0)))
-    found = merged.groupBy(*key, "template", "label", "base", "pairs", "_span").agg(
-        F.min("diagonal").alias("first"), F.bit_count(F.bit_or("bits")).alias("hits"), F.max("votes").alias("copies")
+    merged = diagonals.withColumn("_opens", opens).withColumn("_chain", F.sum("_opens").over(per.rowsBetween(Window.unboundedPreceding, 0)))
+    chain = Window.partitionBy(*key, "template", "_chain")
+    merged = merged.withColumn("_span", F.floor((F.col("diagonal") - F.min("diagonal").over(chain)) / (2 * F.col("pairs"))))
+    hits = F.transform("ats", lambda a: F.struct(a.alias("at"), (F.col("diagonal") + a).alias("pos")))
+    found = merged.groupBy(*key, "template", "label", "base", "pairs", "_chain", "_span").agg(
+        F.min("diagonal").alias("first"), F.flatten(F.collect_list(hits)).alias("_hits"), F.max("votes").alias("copies")
     )
-    share = F.col("hits") / F.col("pairs")
-    return found.withColumn("share", share).filter(F.col("template").isNull() | (share >= F.when(F.col("base"), 1.0).otherwise(SHARE))).drop("_span", "hits")
+    share = F.when(F.col("template").isNotNull(), in_order(F.col("_hits")) / F.col("pairs"))
+    return found.withColumn("share", share).filter(F.col("template").isNull() | (F.col("share") >= F.when(F.col("base"), 1.0).otherwise(SHARE))).drop("_chain", "_span", "_hits")
 
 
 def licences(docs: DataFrame) -> DataFrame:

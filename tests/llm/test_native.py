@@ -47,6 +47,20 @@ def test_a_notice_with_a_word_put_in_is_one_span(documents):
     assert r["labels"] == "apache,apache-2.0" and 0.6 < r["score"] <= 1
 
 
+def test_a_template_of_any_length(documents, monkeypatch):
+    from strandlake.llm import op1_licenses
+
+    rng = random.Random(30)
+    own = [f"t{i}" for i in range(150)]
+    monkeypatch.setattr(op1_licenses, "NOTICES", ((" ".join(own), "long"),))
+    edited, half, shuffled = list(own), own[:75], list(own)
+    edited[70:70] = ["put", "in"]
+    rng.shuffle(shuffled)
+    texts = [own, edited, half, shuffled, own[75:] + own[:75], ["x"] * 50 + own * 2]
+    got = {r["doc_id"]: r["labels"] for r in licences(documents([(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert got == {0: "long", 1: "long", 2: "", 3: "", 4: "", 5: "long"}
+
+
 def test_empty_tables(documents):
     assert licences(documents([])).count() == 0
     assert fingerprints(documents([])).count() == 0
