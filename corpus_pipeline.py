@@ -1,4 +1,12 @@
-"""From raw documents to packed training sequences, a stage after the other."""
+"""From raw documents to packed training sequences, a stage after the other.
+
+Defined cases, for every stage: an empty table gives an empty one; columns of any name pass through, extra ones included,
+in all stages but the last, which returns pieces. Null and empty texts have no language and go in the first stage; a
+stage called by itself keeps them (near_dedup, passage_dedup), drops them (source_mix: they have no words to take) or
+packs their closing id alone (packing). Rows with a null id are no one's copy and stay. Repeated rows are one group for
+near_dedup and equal documents for the mix. A null source is a source. Very long texts go whole through every stage.
+The near-duplicate stage works on shingles of five words (the query op6 on four) at a similarity of 0.8.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm import op3_mixing, op6_minhash, op7_passages, op9_packing, op10_langid
-from strandlake.llm.common import read, shared_dir
+from strandlake.llm.common import cut, read
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +34,7 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
+    """Documents as often as the mix of their sources takes them, in the order of its schedule."""
     return op3_mixing.mixed_documents(docs)
 
 
@@ -49,10 +57,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder and read again."""
-    from uuid import uuid4
-
-    folder, docs = f"{shared_dir(spark)}/pipeline-{uuid4().hex}", read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
