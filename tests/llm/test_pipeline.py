@@ -47,3 +47,43 @@ def test_stages(spark, tmp_path):
     whole = corpus_pipeline.run(spark, sf)
     key = lambda df: Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
     assert key(whole) == key(by["packing"])
+
+
+CLASH = "_gone _id _spans _size _source _takes _words _row _length _text_hash _letters _text _hash slot words rep band component_id key doc size no".split()
+
+
+def test_stages_with_clashing_columns_and_odd_rows(spark):
+    """Extra columns of helpers' names, nulls in every column, repeated rows, and a very long text."""
+    rng = random.Random(31)
+    word = lambda: rng.choice(["the", "thing", "with", "house"]) + str(rng.randrange(4000))
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(60, 120))), "en", rng.choice(["a", None]), 1) for i in range(30)]
+    rows += [(3, rows[3][1], "en", "a", 1)] * 2 + [(None, rows[4][1], None, None, None), (40, None, None, None, None), (41, "", "en", "a", 0), (42, " ".join(word() for _ in range(60_000)), "en", "a", 1)]
+    rows.append((43, rows[-1][1], "en", "b", 1))
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(f"kept {c}") for c in CLASH})
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        whole = stage(spark, docs, "")
+        now = spark.createDataFrame(stage(spark, now, "").collect(), docs.schema)
+        for found in (whole, now):
+            assert found.columns == docs.columns and found.filter(" or ".join(f"`{c}` is null or `{c}` <> 'kept {c}'" for c in CLASH)).count() == 0
+        ids = Counter(r["doc_id"] for r in whole.collect())
+        if name == "language_id":
+            assert ids == Counter(r[0] for r in rows if r[1])
+        if name == "near_dedup":
+            assert ids[43] == 0 and ids[42] == ids[40] == ids[41] == ids[None] == 1
+        if name == "passage_dedup":
+            assert sum(ids.values()) == len(rows)
+        if name == "source_mix":
+            assert set(ids) <= {r[0] for r in rows if r[1]} and ids[40] == ids[41] == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() > 0
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, "")
+        assert found.count() == 0, name
+        assert name == "packing" or found.columns == docs.columns
