@@ -18,6 +18,7 @@ import heapq
 import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,8 @@ class Encoder(dict):
 
     MOST = 400_000
     AROUND = re.compile(r"\s \s")
+    #: A space, ASCII letters and one mark are two pre-tokens; a space's byte is written as this letter there.
+    PLAIN, SPACE = re.compile(" ([A-Za-z]+)([.,;:!?]?)"), "\u0120"
 
     def __init__(self, path: str):
         super().__init__()
@@ -58,6 +61,9 @@ class Encoder(dict):
 
         self.whole = Tokenizer.from_file(path)
         spec = json.loads(open(path, encoding="utf-8").read())
+        self.pretokens: dict[str, bytes] = {}
+        self.tokenize = self.whole.model.tokenize
+        self.split = self.whole.pre_tokenizer.pre_tokenize_str if self.whole.pre_tokenizer else None
         self.special = [t["content"] for t in spec["added_tokens"]]
         before = spec.get("pre_tokenizer") or {}
         self.in_chunks = before.get("type") == "ByteLevel" and bool(before.get("use_regex")) and not before.get("add_prefix_space") and not spec.get("normalizer")
@@ -66,9 +72,22 @@ class Encoder(dict):
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
+        """A new chunk, by the library's own steps: its pre-tokens, which are remembered too, and the model's ids of each."""
         if len(self) >= self.MOST:
             self.clear()
-        value = self[chunk] = self._encoded(chunk)
+        plain = self.PLAIN.fullmatch(chunk)
+        if plain:
+            parts = [self.SPACE + plain[1], plain[2]] if plain[2] else [self.SPACE + plain[1]]
+        else:
+            parts = [p for p, _ in self.split(chunk)]
+        own = [self.pretokens.get(p) or self._model(p) for p in parts]
+        value = self[chunk] = own[0] if len(own) == 1 else b"".join(own)
+        return value
+
+    def _model(self, pretoken: str) -> bytes:
+        if len(self.pretokens) >= self.MOST:
+            self.pretokens.clear()
+        value = self.pretokens[pretoken] = array("I", [t.id for t in self.tokenize(pretoken)]).tobytes()
         return value
 
     def ids(self, text: str | None) -> bytes:
