@@ -16,13 +16,15 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import zlib
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ WINDOW, TIERS, CLOSE = 1024, (64, 128, 256, 512, 1024), 0
 #: Documents of a pack group; ids of a step group.
 GROUP_DOCS, STEP = 4096, 64 * WINDOW
 TOKENIZER = "byte_bpe_50k.json"
+#: Bytes and rows of texts that are encoded together; a longer text comes alone.
+BATCH = 32 << 20, 10_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -42,62 +46,98 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder(dict):
-    """text -> its ids as little-endian unsigned 32-bit bytes.
+class Encoder:
+    """Texts -> their ids as little-endian unsigned 32-bit bytes.
 
-    With the byte-level pre-tokeniser a space after a character that isn't white space always begins a new pre-token, so a
-    text is cut there and the bytes of each chunk are remembered (up to a bound). Texts with white space around a space,
-    those with a special token's string, and all texts of other tokenisers are encoded whole.
+    With the byte-level pre-tokeniser a space after a character that isn't white space always begins a new pre-token, so
+    texts are cut there into words, and each distinct word of a batch is encoded once: many together, as one text with
+    spaces between. As no word has a space in it, the ids whose token begins with one are the words' first. Nothing is kept
+    from batch to batch. Texts with white space around a space, those with a special token's string, and all texts of other
+    tokenisers are encoded whole.
     """
 
-    MOST = 400_000
+    #: Words encoded at once; texts whose ids are put together at once.
+    AT_ONCE, TEXTS = 200, 256
     AROUND = re.compile(r"\s \s")
-    #: A space, ASCII letters and one mark are two pre-tokens; a space's byte is written as this letter there.
-    PLAIN, SPACE = re.compile(" ([A-Za-z]+)([.,;:!?]?)"), "\u0120"
+    #: A space's byte is written as this letter in a token.
+    SPACE = "\u0120"
 
     def __init__(self, path: str):
-        super().__init__()
+        # A task has one core; the library's threads would take those of others.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         spec = json.loads(open(path, encoding="utf-8").read())
-        self.pretokens: dict[str, bytes] = {}
-        self.tokenize = self.whole.model.tokenize
-        self.split = self.whole.pre_tokenizer.pre_tokenize_str if self.whole.pre_tokenizer else None
         self.special = [t["content"] for t in spec["added_tokens"]]
         before = spec.get("pre_tokenizer") or {}
-        self.in_chunks = before.get("type") == "ByteLevel" and bool(before.get("use_regex")) and not before.get("add_prefix_space") and not spec.get("normalizer")
-
-    def _encoded(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        """A new chunk, by the library's own steps: its pre-tokens, which are remembered too, and the model's ids of each."""
-        if len(self) >= self.MOST:
-            self.clear()
-        plain = self.PLAIN.fullmatch(chunk)
-        if plain:
-            parts = [self.SPACE + plain[1], plain[2]] if plain[2] else [self.SPACE + plain[1]]
-        else:
-            parts = [p for p, _ in self.split(chunk)]
-        own = [self.pretokens.get(p) or self._model(p) for p in parts]
-        value = self[chunk] = own[0] if len(own) == 1 else b"".join(own)
-        return value
-
-    def _model(self, pretoken: str) -> bytes:
-        if len(self.pretokens) >= self.MOST:
-            self.pretokens.clear()
-        value = self.pretokens[pretoken] = array("I", [t.id for t in self.tokenize(pretoken)]).tobytes()
-        return value
+        self.in_words = before.get("type") == "ByteLevel" and bool(before.get("use_regex")) and not before.get("add_prefix_space") and not spec.get("normalizer") and not any(" " in s for s in self.special)
+        vocabulary = self.whole.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(self.SPACE)]] = True
+
+    def _encoded(self, text: str) -> np.ndarray:
+        # The library's call without offsets, which is the quicker one.
+        (found,) = self.whole.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, "<u4")
+
+    def _after_space(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all, first, number) of each of ``words`` as it is after a space."""
+        # White space at a word's end would meet the next word's space.
+        together = pc.and_(pc.equal(pc.utf8_trim_whitespace(words), words), pc.greater(pc.binary_length(words), 0)).to_numpy(zero_copy_only=False)
+        found, sizes = [], []
+        some = words.filter(pa.array(together)).to_pylist()
+        for i in range(0, len(some), self.AT_ONCE):
+            ids = self._encoded(" " + " ".join(own := some[i : i + self.AT_ONCE]))
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) != len(own):
+                raise ValueError("a token of this vocabulary goes over the beginning of a word")
+            found.append(ids)
+            sizes.append(np.diff(first, append=len(ids)))
+        for w in words.filter(pa.array(~together)).to_pylist():
+            found.append(ids := self._encoded(" " + w))
+            sizes.append(np.array([len(ids)]))
+        number, first = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        at, in_order = np.argsort(~together, kind="stable"), np.concatenate(sizes)
+        number[at], first[at] = in_order, np.cumsum(in_order) - in_order
+        return np.concatenate(found), first, number
+
+    def batch(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text; null has none."""
+        heads, rests = [], []
+        for text in texts:
+            rest = None
+            if not text:
+                own = b""
+            elif not self.in_words or any(s in text for s in self.special) or self.AROUND.search(text):
+                own = self._encoded(text).tobytes()
+            else:
+                head, space, after = text.partition(" ")
+                own = self._encoded(head).tobytes() if head else b""
+                rest = after if space else None
+            heads.append(own)
+            rests.append(rest)
+        split = pc.split_pattern(pa.array(rests, pa.string()), " ")
+        words = split.flatten().dictionary_encode()
+        if not len(words):
+            yield from heads
+            return
+        flat, first, number = self._after_space(words.dictionary)
+        which = words.indices.to_numpy()
+        last = np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(), dtype=np.int64)
+        for i in range(0, len(texts), self.TEXTS):
+            until = last[i : i + self.TEXTS]
+            begin = last[i - 1] if i else 0
+            own = which[begin : until[-1]]
+            each = number[own]
+            ends = np.concatenate([[0], np.cumsum(each)])
+            ids = flat[np.repeat(first[own] - ends[:-1], each) + np.arange(ends[-1])]
+            bounds = [0, *ends[until - begin].tolist()]
+            for head, x, y in zip(heads[i : i + self.TEXTS], bounds[:-1], bounds[1:], strict=True):
+                yield head + ids[x:y].tobytes()
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.in_chunks or any(s in text for s in self.special) or self.AROUND.search(text):
-            return self._encoded(text)
-        first, *rest = text.split(" ")
-        chunks = [first, *[" " + r for r in rest]] if first else [" " + r for r in rest]
-        return b"".join(map(self.__getitem__, chunks))
+        return next(self.batch([text]))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -132,20 +172,20 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path()
 
     def run(batches):
-        encode = encoder(path).ids
+        encode = encoder(path).batch
         close = np.array([CLOSE], "<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, texts in slices(batch.column("text")):
+            for first, texts in slices(batch.column("text"), *BATCH):
                 at, found, totals = [], [], []
-                for i, text in enumerate(texts):
-                    own = cut_up(data := encode(text) + close)
+                for i, own_ids in enumerate(encode(texts)):
+                    own = cut_up(data := own_ids + close)
                     at += [i] * len(own)
                     found += own
                     totals += [len(data) // 4] * len(own)
-                *numbers, own_ids = zip(*found, strict=True)
+                *numbers, kept = zip(*found, strict=True)
                 columns = [pa.array(np.array(x, np.int64)) for x in (*numbers, totals)]
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)).take(pa.array(at)), *columns, pa.array(own_ids, pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)).take(pa.array(at)), *columns, pa.array(kept, pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"{PIECES}, ids binary")
 

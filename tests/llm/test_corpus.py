@@ -570,12 +570,28 @@ def test_encoder_agrees_on_white_space():
 
     rng, path = random.Random(11), op9_packing.tokenizer_path()
     own, whole = op9_packing.encoder(path), Tokenizer.from_file(path)
-    assert own.in_chunks
+    assert own.in_words
     for _ in range(1500):
         text = "".join(rng.choices([" ", "  ", "\n", "\t", "a", "B1", "'s", "é", ".", " ", "　", " the"], k=rng.randrange(14)))
         assert np.frombuffer(own.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_agrees_on_batches(monkeypatch):
+    """Words that are encoded together have the ids that they have in their texts."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(op9_packing.Encoder, "AT_ONCE", 3)
+    monkeypatch.setattr(op9_packing.Encoder, "TEXTS", 4)
+    rng, path = random.Random(24), op9_packing.tokenizer_path()
+    own, whole = op9_packing.Encoder(path), Tokenizer.from_file(path)
+    words = ["", "\n", "it's", "'s", "a\nb", "a\n", "\ta", "é𝄞", "\u3000x", "x\u3000", "\xa0", "\x1c", "\x85a", "<|endoftext|>", "\u0120", "12", "...", "!\n\n?", "日本語"]
+    for _ in range(150):
+        few = [*rng.choices(words, k=3), *("".join(rng.choices("abcdé,-1", k=rng.randrange(1, 7))) for _ in range(12))]
+        texts = [None, "", *(" ".join(rng.choices(few, k=rng.randrange(1, 30))) for _ in range(8))]
+        for text, got in zip(texts, own.batch(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == whole.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
 # ---- search ----
 
 
