@@ -51,3 +51,20 @@ def test_other_queries_run(spark, name):
 
 def test_every_query_says_what_it_covers():
     assert all(COVERS[n] for n in QUERIES)
+
+
+def test_frequent_words_are_found(spark, tmp_path):
+    """A line of more than six sequences, and a run of one letter, against places counted one by one."""
+    line = "acgtgcatcgatcgttagca"
+    texts = {0: line + "ggg", 100: "t" * 30, 200: None, 300: ""} | {i: "c" * i + line for i in range(1, 12)} | {20: "t" * 40}
+    spark.createDataFrame([(k, v, "en") for k, v in texts.items()], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = {}
+    for q in (0, 100, 200, 300):
+        for t in texts:
+            for x in range(len(texts[q] or "") - 13):
+                for y in range(len(texts[t] or "") - 13):
+                    if q != t and texts[q][x : x + 14] == texts[t][y : y + 14]:
+                        wanted[q, t, x - y] = wanted.get((q, t, x - y), 0) + 1
+    found = QUERIES["seed_diag_hits"](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.target_id, r.diag): r.hits for r in found} == wanted
+    assert len({k[1] for k in wanted if k[0] == 0}) == 11
