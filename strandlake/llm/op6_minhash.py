@@ -30,6 +30,8 @@ from .graph import components
 BANDS, ROWS = 22, 3
 #: Rows (two ids and two keys at most, so about 20 MB) that may be broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 400_000
+#: Bits of a set's parities; the bound they give is sharp for sets that differ in fewer shingles than that.
+PARITIES = 2048
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -102,6 +104,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(run, "want binary, key binary, set binary").filter("want = key").select("key", "set")
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """For each of PARITIES parts of the hashes whether it has an odd number of distinct ``elements``, as bits of numbers.
+
+    Two sets differ in at least one element wherever a parity differs, so in no fewer than there are such places.
+    """
+    odd = np.bincount((elements % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _few(df: DataFrame) -> DataFrame:
     """``df`` to be broadcast, if its rows are few enough."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -178,7 +189,9 @@ def _rest(left: DataFrame, library: DataFrame, percent: int) -> DataFrame:
     Only shingles that two components have count here: a set of n with s of them shares s at most, so it goes if s is too
     few. Of the others, pairs that are alike enough have one of each other's rarest shingles in common: of a set of n,
     n - ceil(percent n) + 1 in one order for all, those of one component first and then by how many sets have them. So a
-    frequent shingle makes no pair unless sets have little else, and none is left out.
+    frequent shingle makes no pair unless sets have little else. Where they have, the join compares parities, which rule a
+    pair out for sure: sets of m and n at the similarity differ in (m + n) (100 - percent) / (100 + percent) at most. None
+    that is alike enough is left out.
     """
     members = cut(left.select("rep", "key", "n", "c").distinct())
 
@@ -199,10 +212,23 @@ def _rest(left: DataFrame, library: DataFrame, percent: int) -> DataFrame:
     # A set's shingles at a time, so no group is larger than a document.
     order = Window.partitionBy("rep").orderBy("d", "shingle")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("s"))
-    rare = each.join(_few(cut(enough)), "rep").withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= prefix)
-    rare = cut(rare.join(members.select("rep", "key"), "rep").select("shingle", F.struct("rep", "key", "c", "n", "s").alias("m")))
+    enough = cut(enough)
+    rare = each.join(_few(enough), "rep").withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= prefix)
+
+    def marked(batches):
+        for batch in batches:
+            bits = [parities(np.frombuffer(own, np.uint64)) for own in batch.column("set").to_pylist()]
+            lengths = np.arange(len(bits) + 1, dtype=np.int32) * (PARITIES // 64)
+            listed = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([np.empty(0, np.int64), *bits])))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("rep", "key", "c", "n", "s")] + [listed], ["rep", "key", "c", "n", "s", "bits"])
+
+    whole = library.join(_few(cut(members.join(enough, "rep"))), "key").select("rep", "key", "c", "n", "s", "set")
+    whole = cut(whole.mapInArrow(marked, "rep long, key binary, c long, n long, s long, bits array<long>").dropDuplicates(["rep"]))
+    rare = cut(rare.select("rep", "shingle").join(whole, "rep").select("shingle", F.struct("rep", "key", "c", "n", "s", "bits").alias("m")))
     both, size = F.least("m.s", "o.s"), F.col("m.n") + F.col("o.n")
     alike = (F.col("m.c") != F.col("o.c")) & (F.col("m.rep") < F.col("o.rep")) & (100 * both >= percent * (size - both))
+    differ = sum((F.bit_count(F.col("m.bits")[i].bitwiseXOR(F.col("o.bits")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    alike &= (100 + percent) * differ <= (100 - percent) * size
     return rare.join(rare.withColumnsRenamed({"m": "o", "shingle": "_shingle"}), (F.col("shingle") == F.col("_shingle")) & alike).select(*_paired("m", "o")).distinct()
 
 

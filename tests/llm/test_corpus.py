@@ -174,6 +174,33 @@ def near_copies(rng, n):
     return rows
 
 
+def test_parities_never_differ_more_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 100, 1500, 9000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0.0, 0.05, 0.3, 1.0):
+            y = np.unique(np.r_[x[: int(n * (1 - share))], rng.integers(0, 1 << 63, int(n * share)).astype(np.uint64)])
+            apart = len(np.setxor1d(x, y))
+            differ = int(np.bitwise_count((op6_minhash.parities(x) ^ op6_minhash.parities(y)).view(np.uint64)).sum())
+            assert differ <= apart and (apart > op6_minhash.PARITIES // 32 or differ >= 0.9 * apart)
+
+
+def test_mixtures_of_frequent_lines(spark, documents):
+    """Documents that share most lines in other mixtures, which the pairs left over are made of, against all pairs."""
+    rng = random.Random(5)
+    lines = [" ".join(f"w{i}x{j}" for j in range(8)) for i in range(24)]
+    rows = [(i, " ".join(rng.sample(lines, 20)) if i % 3 else " ".join(x for x in lines if rng.random() > 0.12)) for i in range(70)]
+    grams = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} for i, t in rows for w in [t.split()]}
+    least = {i: i for i in grams}
+    linked = [(a, b) for a, b in itertools.combinations(grams, 2) if 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b])]
+    for _ in rows:
+        for a, b in linked:
+            least[a] = least[b] = min(least[a], least[b])
+    found = {r.doc_id: r.component_id for r in op6_minhash.near_duplicates(documents(rows), 4).collect()}
+    assert linked and len(set(least.values())) > 5
+    assert found == least
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_near_duplicates(documents, k):
     rng = random.Random(k)
