@@ -19,7 +19,8 @@ from strandlake.llm.common import cut, read
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, no letter) go."""
+    """Documents without a language (no text, no letter) go; the others' ``lang`` becomes the identified language, by which
+    they are packed. Its label, where there was one, has been learned from."""
     return op10_langid.keep_known(docs, op10_langid.language_model(docs))
 
 
@@ -39,8 +40,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in their sequences."""
-    return op9_packing.packed(docs)
+    """The pieces of the documents in their sequences, each of one language."""
+    return op9_packing.packed(docs, within="lang" if "lang" in docs.columns else None)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

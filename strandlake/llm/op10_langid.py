@@ -190,7 +190,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with the columns that ``docs`` has; without a model, those with a letter."""
+    """The rows of ``docs`` whose text has a language, with the columns that ``docs`` has; ``lang``, where there is one, is the
+    identified language. Without a model: those with a letter, as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def decide(batches):
@@ -198,11 +199,14 @@ def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
             for first, texts in slices(batch.column("_text"), most_rows=256):
                 lang, _ = predict_batch(texts, shared.value)
                 letters = batch.column("_letters").slice(first, len(texts)).to_pylist()
-                keep = [k and (v != UNKNOWN or shared.value is None) for k, v in zip(letters, lang, strict=True)]
-                yield batch.slice(first, len(texts)).select(["_row"]).filter(pa.array(keep, pa.bool_()))
+                keep = pa.array([k and (v != UNKNOWN or shared.value is None) for k, v in zip(letters, lang, strict=True)], pa.bool_())
+                found = pa.RecordBatch.from_arrays([batch.column("_row").slice(first, len(texts)), pa.array(lang, pa.string())], ["_row", "_found"])
+                yield found.filter(keep)
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters")
-    return carried(docs, F.col("text").alias("_text"), letters).mapInArrow(decide, StructType().add("_row", docs.schema)).select("_row.*")
+    kept = carried(docs, F.col("text").alias("_text"), letters).mapInArrow(decide, StructType().add("_row", docs.schema).add("_found", "string"))
+    changed = {"lang": F.col("_found")} if model is not None else {}
+    return kept.select(*[changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def language_model(docs: DataFrame) -> Model | None:

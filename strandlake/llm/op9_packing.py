@@ -167,8 +167,9 @@ def _part_crc(ids: bytes, whole: int, start: int, length: int) -> int:
     return zlib.crc32(np.frombuffer(ids, "<u2" if len(ids) == 2 * whole else "<u4")[start : start + length].astype("<u4").tobytes())
 
 
-def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The pieces of every document of ``docs`` (doc_id, text); ``ids`` of those that may be cut again."""
+def pieces(docs: DataFrame, path: str | None = None, within: str | None = None) -> DataFrame:
+    """The pieces of every document of ``docs`` (doc_id, text); ``ids`` of those that may be cut again; ``_within``, the
+    document's value of the column ``within``."""
     path = path or tokenizer_path()
 
     def run(batches):
@@ -185,9 +186,11 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
                     totals += [len(data) // 4] * len(own)
                 *numbers, kept = zip(*found, strict=True)
                 columns = [pa.array(np.array(x, np.int64)) for x in (*numbers, totals)]
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)).take(pa.array(at)), *columns, pa.array(kept, pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+                own = [c.slice(first, len(texts)).take(pa.array(at)) for c in (ids, batch.column("_within"))]
+                yield pa.RecordBatch.from_arrays([own[0], *columns, pa.array(kept, pa.binary()), own[1]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "_within"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"{PIECES}, ids binary")
+    apart = (F.lit(None) if within is None else F.col(within)).cast("string").alias("_within")
+    return docs.select(F.col("doc_id").cast("long"), "text", apart).mapInArrow(run, f"{PIECES}, ids binary, _within string")
 
 
 def tier(length: int) -> int:
@@ -318,23 +321,32 @@ def steps(sequence: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return of[at]
 
 
-def packed(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Every piece of every document with its sequence, offset and step group."""
+def packed(docs: DataFrame, path: str | None = None, within: str | None = None) -> DataFrame:
+    """Every piece of every document with its sequence, offset and step group. With ``within``, a sequence has documents of
+    one value of that column alone (null is a value)."""
     groups = max(1, docs.count() // GROUP_DOCS)
-    cut_pieces = pieces(docs, path)
+    cut_pieces = pieces(docs, path, within)
     dealt = cut_pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
 
     def run(batches):
         whole = pd.concat(list(batches), ignore_index=True)
         for group, rows in whole.groupby("_group", sort=True):
             rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32", "doc_tokens"], ascending=[False, True, True, True, True])
-            parts = sorted(pack(rows["length"].to_numpy()))
+            parts, first = [], 0
+            values = rows["_within"].fillna("").to_numpy() + np.where(rows["_within"].isna(), "", "=")
+            for value in np.unique(values.astype(object)):
+                # Of pieces of one value; numbers of all the group's pieces, sequences after those before.
+                own = np.flatnonzero(values == value)
+                of = pack(rows["length"].to_numpy()[own])
+                parts += [(own[i], s, n, first + k, o) for i, s, n, k, o in of]
+                first += max(k for _, _, _, k, _ in of) + 1
+            parts.sort()
             number, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*parts, strict=True))
             out = rows.iloc[number].reset_index(drop=True)
             each = zip(out["ids_crc32"].to_list(), out["ids"].to_list(), out["length"].to_list(), start.tolist(), length.tolist(), strict=True)
             crc = [c if n == whole else _part_crc(ids, whole, s, n) for c, ids, whole, s, n in each]
             out = out.assign(start=out["start"] + start, length=length, ids_crc32=crc, sequence_id=(int(group) << 32) + sequence, offset=offset, step_group=(int(group) << 32) + steps(sequence, length))
-            yield out.drop(columns=["_group", "ids"])
+            yield out.drop(columns=["_group", "ids", "_within"])
 
     def guarded(batches):
         kept = [b for b in batches if len(b)]

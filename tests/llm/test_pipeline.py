@@ -87,3 +87,23 @@ def test_stages_on_an_empty_table(spark):
         found = stage(spark, docs, "")
         assert found.count() == 0, name
         assert name == "packing" or found.columns == docs.columns
+
+
+def test_identified_language_reaches_the_sequences(spark):
+    """Missing and wrong labels are replaced by what the text is, and no sequence has two languages."""
+    rng = random.Random(41)
+    words = {"en": ["the", "thing", "with", "house", "and"], "de": ["der", "schön", "über", "haus", "und"]}
+    rows, true = [], {}
+    for i in range(200):
+        true[i] = lang = rng.choice(list(words))
+        label = None if i % 10 == 3 else next(v for v in words if v != lang) if i % 25 == 7 else lang
+        rows.append((i, " ".join(rng.choice(words[lang]) for _ in range(60)), label, "a", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    named = dict(corpus_pipeline.STAGES)
+    known = spark.createDataFrame(named["language_id"](spark, docs, "").collect(), docs.schema)
+    assert {r["doc_id"]: r["lang"] for r in known.collect()} == true
+    found, whole = {}, Counter()
+    for r in named["packing"](spark, known, "").collect():
+        found.setdefault(r["sequence_id"], set()).add(true[r["doc_id"]])
+        whole[r["doc_id"]] += r["length"]
+    assert all(len(v) == 1 for v in found.values()) and set(whole) == set(true)
