@@ -7,11 +7,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import seq
-from ..operators.align import clades, medoids, protein_score
+from ..operators.align import clades, differences, medoids, protein_score
 from ..sources.views import DNA_SQL, EXON_SQL, INTRON_SQL, dna, exon, table
 from .align import _per_pair, pairs as neighbours
 from .models import pam_power
-from .msa import _p, msa, pair_counts
+from .msa import msa, planes
 from .records import rec_feature_join
 from .registry import query
 
@@ -77,21 +77,24 @@ def random_normals(spark, sf):
 
 
 def _grouped(spark, sf, f, column):
-    d = pair_counts(spark, sf).select("label", "i", "j", _p().alias("d")).groupBy("label").agg(F.collect_list(F.struct("i", "j", "d")).alias("pairs"))
-    members = msa(spark, sf).groupBy("label").agg(F.sort_array(F.collect_list("member")).alias("members"))
+    rows = F.sort_array(F.collect_list(F.struct("member", "gap", "low", "high")))
+    families = planes(spark, sf).filter("label is not null").groupBy("label").agg(rows.alias("m"), F.count("*").alias("n")).filter("n > 1")
+    families = families.select("label", *[F.col("m")[c].alias(c) for c in ("member", "gap", "low", "high")])
 
     def run(batches):
         for pdf in batches:
-            rows = [(label, m, c) for label, own, p in zip(pdf["label"], pdf["members"], pdf["pairs"], strict=True) for m, c in f(list(own), {(x["i"], x["j"]): x["d"] for x in p}).items()]
+            rows = []
+            for label, own, *bits in zip(pdf["label"], pdf["member"], pdf["gap"], pdf["low"], pdf["high"], strict=True):
+                rows += [(label, m, c) for m, c in f(own.tolist(), differences(*bits)).items()]
             yield pd.DataFrame(rows, columns=["label", "member", column])
 
-    # A family is one alignment, as for the pairwise distances it needs.
-    return members.join(d, "label").mapInPandas(run, f"label long, member long, {column} long")
+    # A family is one alignment: three words a member, and distances made as they are asked for.
+    return families.mapInPandas(run, f"label long, member long, {column} long")
 
 
 @query("AGG29")
 def msa_clades(spark, sf):
-    return _grouped(spark, sf, lambda own, d: clades(own, {k: v <= 0.25 for k, v in d.items()}), "master")
+    return _grouped(spark, sf, lambda own, d: clades(own, d, 0.25), "master")
 
 
 @query("AGG30")
