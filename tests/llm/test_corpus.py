@@ -676,6 +676,29 @@ def test_shards_agree_with_one_index(documents, monkeypatch):
         assert dict(zip(many.tolist(), found.tolist(), strict=True)) == {d: s for d, s in zip(doc.tolist(), score.tolist(), strict=True) if s >= floor}
 
 
+def test_common_terms_bound_every_score():
+    """The matrix of common terms changes no answer, and hardly a document more than the answers is scored whole."""
+    rng = np.random.default_rng(31)
+    owner = np.repeat(np.arange(900), rng.integers(1, 60, 900))
+    terms = np.minimum(rng.geometric(0.04, len(owner)) - 1, 199)
+    lengths, weights, row = np.bincount(owner, minlength=900), np.linspace(0.2, 5, 200), np.full(200, -1, np.int32)
+    row[:40] = rng.permutation(40)
+    plain, index = (op5_topk.Shard(np.arange(900), lengths, owner, terms, weights, 30.0, r) for r in (None, row))
+    scored, whole = [], index.scores
+    index.scores = lambda docs, *rest: scored.append(len(docs)) or whole(docs, *rest)
+    for _ in range(40):
+        query, times = np.unique(np.minimum(rng.geometric(0.04, 30) - 1, 199), return_counts=True)
+        common = np.zeros((1, 40), np.float32)
+        common[0, row[query[query < 40]]] = times[query < 40]
+        bounds, greatest = index.products(common)
+        every = plain.search(query, times.astype(float), 900, 0.0)
+        for floor in (0.0, *np.quantile(every[1], [0.3, 0.9, 0.995])):
+            want = sorted((-s, d) for d, s in zip(*(x.tolist() for x in every), strict=True) if s >= floor)[:10]
+            got = index.search(query, times.astype(float), 10, float(floor), (bounds[0], greatest[0]))
+            assert sorted((-s, d) for d, s in zip(*(x.tolist() for x in got), strict=True)) == want
+    assert sum(scored) < 40 * 4 * 60
+
+
 # ---- archives ----
 
 
