@@ -10,8 +10,14 @@ runs inside have both minima, and the pair of centres is their signature. Texts
 must agree on an interval as wide as a passage. In a meeting every occurrence is paired with the least document. Pairs are
 verified on whole texts: a passage is a run of at least PASSAGE words of the later document whose shingles, at a Jaccard
 similarity of 0.8 or more, are in the earlier one. Occurrences that no verified passage covers go on: the least of them
-that hasn't been is next paired with those that share LATER signatures with it, for ROUNDS rounds. So a passage found in thousands of documents costs as
-many pairs as occurrences, not their square.
+that hasn't been is next paired with those that share LATER signatures with it, for ROUNDS rounds. So a passage found in
+thousands of documents costs as many pairs as occurrences, not their square.
+
+Rounds end, and some occurrences may still be in no passage. For them every other document that they meet counts, by an exact
+bound: wherever a document has a passage of another, WIDTH shingles in a row lack MISSED of it at most. So shingles that no
+second document has are misses for sure, windows with more of them go, as do those that are reported already; of each
+other window so many of the rarest shingles are looked up that one of them must be found, and all documents that have it
+are verified.
 
 Every repeated passage is reported with an earlier document that has it, not with all of them. The rows depend on the
 documents alone, not on how they are dealt to tasks.
@@ -43,6 +49,10 @@ WIDTH = PASSAGE - SHINGLE + 1
 MISS = 8
 #: Shingles missing in a row inside one passage at most: two words put in, left out or changed close to each other.
 GAP = 9
+#: Misses that the best WIDTH shingles in a row of a passage have at most. A passage of L shingles misses L / 9. From 2 WIDTH
+#: shingles on, one of two runs apart has half of that or less; below, its first and last runs overlap in 2 WIDTH - L
+#: shingles, and have the most if all misses are there: 9, at L from 81 to 83.
+MISSED = 9
 #: Ids (8 bytes each) that may be broadcast; beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -165,18 +175,95 @@ def candidates(docs: DataFrame) -> DataFrame:
     return pivoted(meetings(docs))
 
 
-def uncovered(met: DataFrame, found: DataFrame) -> DataFrame:
-    """The occurrences of ``met`` of which half or more is in no passage of ``found``, without the least of each signature."""
-    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "n_words")).alias("_spans"))
-    joined = met.join(spans, F.col("doc") == F.col("doc_id"), "left")
+def spans_of(found: DataFrame) -> DataFrame:
+    """doc_id, _spans: the passages of each document."""
+    return found.groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "n_words")).alias("_spans"))
+
+
+def unreported(met: DataFrame, found: DataFrame, least: int = 2) -> DataFrame:
+    """The occurrences of ``met`` of which half or more is in no passage of ``found``, without the least of each signature and
+    signatures of fewer than ``least`` documents."""
+    joined = met.join(spans_of(found), F.col("doc") == F.col("doc_id"), "left")
     inside = lambda s: F.least(s["first_word"] + s["n_words"] - SHINGLE + 1, F.col("at") + WIDTH) - F.greatest(s["first_word"], F.col("at"))
     left = joined.filter(~F.coalesce(F.exists("_spans", lambda s: 2 * inside(s) >= WIDTH), F.lit(False))).select("sig", "doc", "at")
-    pivots = met.groupBy("sig").agg(F.min("doc").alias("_pivot"))
-    left = left.join(pivots, "sig").filter("doc <> _pivot").drop("_pivot")
-    # One alone has no one left to meet.
+    pivots = met.groupBy("sig").agg(F.min("doc").alias("_pivot"), F.count("*").alias("_n")).filter(F.col("_n") >= least).drop("_n")
+    return left.join(pivots, "sig").filter("doc <> _pivot").drop("_pivot")
+
+
+def uncovered(met: DataFrame, found: DataFrame) -> DataFrame:
+    """``unreported`` occurrences that meet one another."""
+    left = unreported(met, found)
+    # One alone has no one left to meet in a round.
     return left.join(left.groupBy("sig").count().filter("count > 1"), "sig", "left_semi")
 
 
+def looked_up(n: np.ndarray, reported: np.ndarray) -> np.ndarray:
+    """Places of shingles of which every document has one that shares a passage not ``reported`` yet.
+
+    ``n`` counts for each place the documents with its shingle, 0 where there is no second one. Each window of WIDTH places
+    that can have MISSED misses or fewer, and has more places that aren't reported, gets more than MISSED places that miss
+    for sure or are looked up.
+    """
+    if len(n) < WIDTH:
+        return np.empty(0, np.int64)
+    total = lambda x: np.diff(np.r_[0, np.cumsum(x)][[np.arange(len(n) - WIDTH + 1), np.arange(WIDTH, len(n) + 1)]], axis=0)[0]
+    chosen = n == 0
+    begins = np.flatnonzero((total(chosen) <= MISSED) & (total(~reported) > MISSED))
+    for i in begins.tolist():
+        own = chosen[i : i + WIDTH]
+        lacks = MISSED + 1 - np.count_nonzero(own)
+        if lacks > 0:
+            free = np.flatnonzero(~own)
+            # Of equally rare ones the last, which is in more of the windows to come.
+            own[free[np.lexsort((-free, n[i + free]))[:lacks]]] = True
+    return np.flatnonzero(chosen & (n > 0))
+
+
+def rest(own: DataFrame, met: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
+    """a, b: all pairs not ``tested`` that may share a passage which the rounds haven't found."""
+    # Where two documents meet, both have been paired.
+    left = cut(unreported(met, found, 3).select("sig", "doc"))
+    late = cut(left.select("doc").distinct())
+    taking_part = cut(met.join(left.select("sig").distinct(), "sig", "left_semi").select("doc").distinct())
+
+    def each(batches):
+        for batch in batches:
+            for first, sets in slices(batch.column("_own")):
+                parts = [np.unique(np.frombuffer(x, "<i4")) for x in sets]
+                docs = np.repeat(batch.column("_doc").to_numpy()[first : first + len(sets)], [len(x) for x in parts])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(docs)], ["shingle", "doc"])
+
+    def rarest(batches):
+        for batch in batches:
+            ids, spans = batch.column("_doc").to_pylist(), batch.column("_spans").to_pylist()
+            places, docs = [np.empty(0, np.int32)], []
+            for i, doc in enumerate(ids):
+                shingled = np.frombuffer(batch.column("_own")[i].as_py(), "<i4")
+                known, often = (batch.column(c)[i].values.to_numpy() for c in ("_shared", "_often"))
+                order = np.argsort(known)
+                known, often = known[order], often[order]
+                at = np.minimum(np.searchsorted(known, shingled), len(known) - 1)
+                reported = np.zeros(len(shingled), bool)
+                for s in spans[i] or ():
+                    reported[s["first_word"] : s["first_word"] + s["n_words"] - SHINGLE + 1] = True
+                places.append(np.unique(shingled[looked_up(np.where(known[at] == shingled, often[at], 0), reported)]))
+                docs.append(np.full(len(places[-1]), doc))
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places)), pa.array(np.concatenate(docs))], ["shingle", "b"])
+
+    sets = own.select(F.col("_doc"), "_own")
+    rows = cut(sets.join(taking_part, F.col("_doc") == F.col("doc"), "left_semi").mapInArrow(each, "shingle int, doc long"))
+    often = cut(rows.groupBy("shingle").agg(F.count("*").cast("int").alias("n")).filter("n > 1"))
+    shared = cut(rows.join(often, "shingle"))
+    known = shared.join(late, "doc", "left_semi").groupBy("doc").agg(F.collect_list("shingle").alias("_shared"), F.collect_list("n").alias("_often"))
+    asked = sets.join(known, F.col("_doc") == F.col("doc")).join(spans_of(found), F.col("_doc") == F.col("doc_id"), "left")
+    asked = cut(asked.select("_doc", "_own", "_shared", "_often", "_spans").mapInArrow(rarest, "shingle int, b long"))
+    pairs = asked.join(shared.select("shingle", F.col("doc").alias("a")), "shingle").filter("a < b").select("a", "b").distinct()
+    out = cut(pairs.join(tested, ["a", "b"], "left_anti"))
+    discard(left, late, taking_part, rows, often, shared, asked)
+    return out
+
+
 def alike_spans(at: np.ndarray) -> list[tuple[int, int, int]]:
     """(first, last, hits): spans that cover all there is of WIDTH shingles or more at the similarity, as few as can be.
 
@@ -221,12 +308,15 @@ def shared_passages(early: np.ndarray, late: np.ndarray) -> list[tuple[int, int,
 PASSAGES = "doc_id long, other_id long, first_word int, n_words int, similarity double"
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The passages of each pair (a, b): those of ``b`` that ``a`` has."""
+def shingled(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """_doc, _own: the shingles of the documents of ``pairs`` (a, b), as numbers of 32 bits: as long as the text, and two pairs
+    in a few billion agree by chance."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     taking_part = cut(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
     if taking_part.count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(taking_part), F.col("doc_id") == F.col("_id"), "left_semi")
+    else:
+        texts = texts.join(taking_part, F.col("doc_id") == F.col("_id"), "left_semi")
 
     def hashed(batches):
         for batch in batches:
@@ -234,6 +324,14 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 sets = [shingles(word_hashes(t), SHINGLE).astype("<u4").tobytes() for t in own]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(own)), pa.array(sets, pa.binary())], ["_doc", "_own"])
 
+    out = cut(texts.select("doc_id", "text").mapInArrow(hashed, "_doc long, _own binary"))
+    discard(taking_part)
+    return out
+
+
+def verified(own: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The passages of each pair (a, b): those of ``b`` that ``a`` has."""
+
     def run(batches):
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
@@ -246,27 +344,29 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "other_id", "first_word", "n_words", "similarity"])
 
-    # Shingles as numbers of 32 bits, made once a document: as long as the text, and two pairs in a few billion agree by chance.
-    own = cut(texts.select("doc_id", "text").mapInArrow(hashed, "_doc long, _own binary"))
     joined = pairs.join(own.select(F.col("_doc").alias("b"), F.col("_own").alias("b_own")), "b")
     joined = joined.join(own.select(F.col("_doc").alias("a"), F.col("_own").alias("a_own")), "a")
-    out = cut(joined.select("a", "b", "a_own", "b_own").mapInArrow(run, PASSAGES))
-    discard(own, taking_part)
-    return out
+    return cut(joined.select("a", "b", "a_own", "b_own").mapInArrow(run, PASSAGES))
 
 
 def passages(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, other_id, first_word, n_words, similarity: passages of a document that one with a lesser id has too."""
-    met = meetings(docs)
+    whole = met = meetings(docs)
     pairs = tested = cut(pivoted(met))
-    found = verified(docs, pairs)
+    # Who meets anyone is in a pair of the first round.
+    own = shingled(docs, pairs)
+    found = verified(own, pairs)
     for _ in range(rounds - 1):
         met = cut(uncovered(met, found))
         pairs = cut(pivoted(met, LATER).join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
         tested = tested.union(pairs)
-        found = found.union(verified(docs, pairs))
+        found = found.union(verified(own, pairs))
+    pairs = rest(own, whole, found, tested)
+    if not pairs.isEmpty():
+        found = found.union(verified(own, pairs))
+    discard(own, whole)
     return found
 
 

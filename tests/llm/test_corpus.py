@@ -342,6 +342,47 @@ def test_passages_against_all_pairs(spark, documents):
     assert got <= wanted and len(got) >= 0.98 * len(wanted)
 
 
+def test_passages_after_the_rounds(documents):
+    """Documents that meet by one frequent line, eight clusters each with a passage of its own around it: no round's pivot is
+    of the last ones' cluster."""
+    rng = random.Random(91)
+    line = [f"line{i}" for i in range(49)]
+    fresh = lambda n: [f"u{rng.getrandbits(48)}" for _ in range(n)]
+    heads = [[f"h{c}x{j}" for j in range(12)] for c in range(8)]
+    rows = [(i, " ".join([*fresh(20), *line, *fresh(20)])) for i in range(4)]
+    # Every second word of a line's end differs from cluster to cluster, so that the line alone is no passage.
+    own = [[*h, *(w if j % 4 or j < 24 else f"c{c}{j}" for j, w in enumerate(line))] for c, h in enumerate(heads)]
+    rows += [(10 + 8 * k + c, " ".join([*fresh(9), *own[c], *fresh(9)])) for k in range(2) for c in range(8)]
+    wanted = covered(rows)
+    assert {d for d, _ in wanted} >= set(range(18, 26))
+    for rounds in (1, 3):
+        got = {(r["doc_id"], w) for r in op7_passages.passages(documents(rows), rounds).collect() for w in range(r["first_word"], r["first_word"] + r["n_words"])}
+        assert got == wanted, rounds
+
+
+def test_looked_up_shingles_meet_every_passage():
+    """Whatever misses a passage has, one of its shingles that are looked up isn't among them."""
+    rng, width = np.random.default_rng(92), op7_passages.WIDTH
+    for _ in range(300):
+        length = int(rng.integers(width, 260))
+        late = np.arange(1000, 1000 + length, dtype=np.uint32)
+        miss = np.zeros(length, bool)
+        for _ in range(int(rng.integers(0, length // 9 + 2))):
+            at = int(rng.integers(0, length)) if rng.random() < 0.4 else int(length / 2 + rng.integers(-5, 5))
+            miss[at % length] = True
+        n = rng.integers(2, 9, length)
+        n[miss & (rng.random(length) < 0.5)] = 0
+        places = op7_passages.looked_up(n, np.zeros(length, bool))
+        assert (n[places] > 0).all()
+        if op7_passages.shared_passages(late[~miss], late):
+            assert (~miss[places]).any()
+    # 37 hits, nine misses, 37 hits: the most misses that every window of a passage can have.
+    n = np.r_[np.full(37, 2), np.full(9, 5), np.full(37, 2)]
+    late = np.arange(83, dtype=np.uint32)
+    assert op7_passages.shared_passages(late[n == 2], late) and (n[op7_passages.looked_up(n, np.zeros(83, bool))] == 2).any()
+    assert not len(op7_passages.looked_up(n, np.ones(83, bool)))
+
+
 def test_passages(documents):
     rng = random.Random(8)
     passage, other = prose(rng, 70, 5000).split(), prose(rng, 51, 5000).split()
