@@ -740,6 +740,20 @@ def test_common_terms_bound_every_score():
     assert sum(scored) < 40 * 4 * 60
 
 
+def test_documents_are_scored_once():
+    rng = np.random.default_rng(32)
+    owner = np.repeat(np.arange(900), rng.integers(1, 60, 900))
+    terms = np.minimum(rng.geometric(0.04, len(owner)) - 1, 199)
+    index = op5_topk.Shard(np.arange(900), np.bincount(owner, minlength=900), owner, terms, np.linspace(0.2, 5, 200), 30.0)
+    scored, whole = [], index.scores
+    index.scores = lambda docs, *rest: scored.extend(docs.tolist()) or whole(docs, *rest)
+    for _ in range(20):
+        query, times = np.unique(np.minimum(rng.geometric(0.04, 30) - 1, 199), return_counts=True)
+        scored.clear()
+        assert len(index.search(query, times.astype(float), 10, 0.0)[0]) == 10
+        assert len(scored) == len(set(scored)) > 0
+
+
 # ---- archives ----
 
 
