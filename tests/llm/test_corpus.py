@@ -434,6 +434,25 @@ def test_passages_at_the_least_similarity(documents):
     assert len({(2 * i, 2 * i + 1) for i in range(300)} - got) <= 12
 
 
+def test_batches_of_written_tables_are_bounded(spark):
+    """Rows of 100 kB come to Python in batches of a few MB, and the session's own settings are as before."""
+    from pyspark.sql import functions as F
+
+    from strandlake.llm.common import BATCH_BYTES, cut
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    large = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    got = cut(large.mapInArrow(sizes, "n long, size long")).collect()
+    assert sum(r["n"] for r in got) == 400
+    assert max(r["size"] for r in got) <= BATCH_BYTES + 200_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_passages_in_a_looser_stretch():
     rng = random.Random(81)
     early = [f"v{i}" for i in range(400)]
